@@ -1,0 +1 @@
+"""Intentionally empty: every stage of the analysis is a finished batch, so there is no streaming operator."""
