@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def to_number(column: Column) -> Column:
     """DOUBLE value of a column; text that is no number, and NaN, become NULL."""
-    number = column.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
 
 
 def code(column: Column) -> Column:

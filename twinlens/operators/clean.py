@@ -85,7 +85,7 @@ def _fill_values(df: DataFrame, values: dict) -> DataFrame:
     for name, value in values.items():
         kept = quoted(name)
         if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            kept = F.when(~F.isnan(kept), kept)
+            kept = F.nanvl(kept, F.lit(None).cast("double"))
         new[name] = F.coalesce(kept, F.lit(value))
     return _replace(df, new)
 

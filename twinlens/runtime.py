@@ -29,10 +29,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and keeps it on shared storage, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Computes ``df`` once and keeps it as a parquet table on shared storage.
+
+    The lineage ends there, so a lost executor costs no recomputation, and later passes read only the columns they need.
+    """
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
