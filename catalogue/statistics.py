@@ -145,7 +145,7 @@ SELECT state, count(*) FILTER (label = 'X') AS n_x, round(avg(v) FILTER (label =
        round((avg(v) FILTER (label = 'Y') - avg(v) FILTER (label = 'X')) / avg(v) FILTER (label = 'X') * 100, 4) + 0.0 AS percent_shift FROM g GROUP BY 1""")
 def conditional_shift(spark, sf):
     rows = orders(spark, sf).select("label", F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("v"))
-    shifted = stats.conditional_shift(rows, ["state"], 1)
+    shifted = stats.conditional_shift(rows, ["state"])
     return rounded(shifted, "mean_x", "median_x", "mean_y", "median_y", "percent_shift", digits=4)
 
 

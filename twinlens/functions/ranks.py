@@ -1,15 +1,18 @@
 """Exact order statistics over groups of any size.
 
-A sorted group never sits in one task. Values are first counted per distinct value, then cut into ranges at
-approximate quantiles, so that each range holds about the same number of rows however the values are spread.
-Totals per range give the offset at which each range starts, and only inside a range are rows put in order.
+A sorted group never sits in one task. Where a whole order is needed, values are counted per distinct value and cut
+into ranges at approximate quantiles, so that each range holds about the same number of rows however the values are
+spread; only inside a range are rows put in order. Where only the middle is needed, a sketch brackets it first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import broadcast_if_small, durable
+
 CUT_VALUES_LIMIT = 1_000_000
+SKETCH_ACCURACY = 100_000
 
 
 def cut_points(rows: DataFrame, value: str, by: str | None = None, ranges: int | None = None, groups: int = 1):
@@ -49,53 +52,41 @@ def with_range(rows: DataFrame, value: str, cuts, by: str | None = None, name: s
     return joined.withColumn(name, _range_of(F.col("cuts"), longest, value)).drop("cuts")
 
 
-def exact_quantiles(
-    rows: DataFrame,
-    group: list[str],
-    value: str,
-    probabilities: dict[str, float],
-    cut_by: str | None = None,
-    cut_groups: int = 1,
-    few_groups: bool = True,
-    ranges: int | None = None,
-) -> DataFrame:
-    """Interpolated quantiles per group, one column per entry of ``probabilities``.
-
-    ``cut_by`` names the group column whose values share a scale (the variable id in long tables).
-    ``few_groups`` states that the number of groups is bounded by the schema, not by the data; the table of
-    ranges that hold a quantile is then broadcast, otherwise it joins by shuffle.
+def exact_median(rows: DataFrame, group: list[str], value: str, name: str = "median", few_groups: bool = True) -> DataFrame:
+    """Exact median per group, interpolated between the two middle values: ``(*group, name)``.
+
+    A quantile sketch with a guaranteed rank error brackets the middle of every group. A second scan counts the rows
+    below the bracket and the values inside it, about one row in 10,000 of a large group, so neither whole groups nor
+    whole columns are ever shuffled or sorted. A bracket that missed the middle would fail the query.
+
+    ``few_groups`` states that the number of groups is bounded by the schema, not by the data; the brackets are then
+    broadcast. Otherwise they are stored first and broadcast only while there are few.
     """
-    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    cuts = cut_points(rows, value, cut_by, ranges, cut_groups)
-    counts = rows.groupBy(*group, value).agg(F.count("*").alias("n"))
-    counts = with_range(counts, value, cuts, cut_by)
-
-    ordered = Window.partitionBy(*group).orderBy("range_id")
-    whole = Window.partitionBy(*group)
-    spans = (
-        counts.groupBy(*group, "range_id")
-        .agg(F.sum("n").alias("held"))
-        .withColumn("before", F.sum("held").over(ordered) - F.col("held"))
-        .withColumn("total", F.sum("held").over(whole))
-    )
-    places = {}
-    for name, p in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(float(p))
-        places[name] = (F.floor(position), F.ceil(position), position - F.floor(position))
-    wanted = F.lit(False)
-    for low, high, _ in places.values():
-        for place in (low, high):
-            wanted = wanted | ((place >= F.col("before")) & (place < F.col("before") + F.col("held")))
-    spans = spans.where(wanted).drop("held")
-    spans = F.broadcast(spans) if few_groups else spans
-
-    inside = Window.partitionBy(*group, "range_id").orderBy(value)
-    ranked = counts.join(spans, [*group, "range_id"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    hit = lambda place: F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col(value)))
-    picked = ranked.groupBy(*group).agg(
-        *[hit(low).alias(f"{name}_low") for name, (low, _, _) in places.items()],
-        *[hit(high).alias(f"{name}_high") for name, (_, high, _) in places.items()],
-        *[F.max(share).alias(f"{name}_share") for name, (_, _, share) in places.items()],
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).alias("v"))
+    narrow, wide = 3.0 / SKETCH_ACCURACY, 0.003
+    around = [0.5 - narrow, 0.5 + narrow, 0.5 - wide, 0.5 + wide]
+    sketch = F.percentile_approx("v", around, SKETCH_ACCURACY).alias("near")
+    found = rows.groupBy(*group).agg(F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch)
+    # in small groups the bracket must also span whole ranks, not only a share of them
+    edge = lambda at, end: F.when(F.col("total") < 1_000, F.col(end)).when(F.col("total") < 1_000_000, F.col("near")[at + 2]).otherwise(F.col("near")[at])
+    brackets = found.select(
+        *[F.col(g).alias(f"of_{g}") for g in group], "total", edge(0, "lo").alias("low"), edge(1, "hi").alias("high")
     )
-    between = lambda n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_share")
-    return picked.select(*group, *[between(n).alias(n) for n in probabilities])
+    brackets = F.broadcast(brackets) if few_groups else broadcast_if_small(durable(brackets, "brackets"), 1_000_000)
+    same = F.lit(True)
+    for g in group:
+        same = same & (F.col(g) == F.col(f"of_{g}"))
+    if group:
+        near = rows.join(brackets, same).where(F.col("v") <= F.col("high"))
+    else:
+        only = brackets.first()
+        near = rows.where(F.col("v") <= F.lit(only["high"])).withColumns({c: F.lit(only[c]) for c in ("total", "low")})
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    counts = near.groupBy(*group, "total", inside.alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy(F.col("v").asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto)
+    hit = lambda place: F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
+    middle = (F.col("total") - 1) / 2
+    picked = ranked.groupBy(*group).agg(hit(F.floor(middle)).alias("below"), hit(F.ceil(middle)).alias("above"))
+    missed = F.raise_error(F.lit("the bracket of a median missed its middle")).cast("double")
+    return picked.select(*group, F.coalesce((F.col("below") + F.col("above")) / 2, missed).alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.ranks import exact_quantiles
+from ..functions.ranks import exact_median
 from ..functions.values import code, to_number
 from ..model import quoted
 from ..runtime import broadcast_if_small, durable
@@ -60,7 +60,7 @@ def column_medians(df: DataFrame, columns) -> dict[str, float]:
     if not names:
         return {}
     rows = _long_numbers(df, names)
-    found = exact_quantiles(rows, ["name"], "v", {"median": 0.5}, cut_by="name", cut_groups=len(names))
+    found = exact_median(rows, ["name"], "v")
     return {r["name"]: r["median"] for r in found.collect()}
 
 
@@ -145,7 +145,7 @@ def impute_group_median(
     clean = coerce_numbers(df, [target])
     overall = column_medians(clean, [target]).get(target, fallback)
     grouped = clean.where(quoted(group).isNotNull()).select(quoted(group).alias("g"), quoted(target).alias("v"))
-    medians = durable(exact_quantiles(grouped, ["g"], "v", {"group_median": 0.5}, few_groups=False))
+    medians = durable(exact_median(grouped, ["g"], "v", "group_median", few_groups=False), "medians")
     joined = clean.join(broadcast_if_small(medians, broadcast_rows), quoted(group) == F.col("g"), "left")
     filled = F.coalesce(quoted(target), F.col("group_median"), F.lit(float(overall)))
     return joined.select(*[filled.alias(c) if c == target else quoted(c) for c in df.columns])

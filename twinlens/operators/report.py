@@ -228,7 +228,7 @@ def sweep_conditioned(df: DataFrame, conditions: Sequence[str], targets: Sequenc
     states = anchor_states(rows, conditions, ["label", *targets])
     long = unpivot_numbers(states, targets, carry=("label", "anchor", "anchor_state"), name="target")
     long = long.where(F.col("anchor") != F.col("target"))
-    return conditional_shift(long, ["anchor", "anchor_state", "target"], len(targets), cut_by="target")
+    return conditional_shift(long, ["anchor", "anchor_state", "target"])
 
 
 def sweep_bivariate(

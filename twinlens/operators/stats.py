@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.ranks import exact_quantiles
+from ..functions.ranks import exact_median
 from ..functions.values import to_number
 from ..model import X, Y, TwoSample, is_x, is_y, quoted
 
@@ -29,7 +29,6 @@ def numeric_comparison(df: DataFrame, columns, label: str = "label") -> DataFram
     A column without any value on one side is left out. The percent shift refers to the size of the X mean.
     """
     rows = unpivot_numbers(df.withColumnRenamed(label, "label"), columns).where(F.col("label").isin(X, Y))
-    names = [c for c in columns if c in df.columns]
 
     def side(tag, on):
         only = lambda v: F.when(on, v)
@@ -42,9 +41,7 @@ def numeric_comparison(df: DataFrame, columns, label: str = "label") -> DataFram
         ]
 
     moments = rows.groupBy("name_metric").agg(*side("x", is_x()), *side("y", is_y()))
-    medians = exact_quantiles(
-        rows, ["name_metric", "label"], "v", {"median": 0.5}, cut_by="name_metric", cut_groups=len(names)
-    )
+    medians = exact_median(rows, ["name_metric", "label"], "v")
     medians = medians.groupBy("name_metric").agg(
         F.max(F.when(is_x(), F.col("median"))).alias("median_x"),
         F.max(F.when(is_y(), F.col("median"))).alias("median_y"),
@@ -226,11 +223,8 @@ def grouped_line(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     )
 
 
-def conditional_shift(rows: DataFrame, group: list[str], value_groups: int, cut_by: str | None = None) -> DataFrame:
-    """n, mean and median of X and Y per group and the signed percent shift of the mean.
-
-    ``rows`` is long: ``(label, *group, v)``. ``cut_by`` names the group column whose values share a scale.
-    """
+def conditional_shift(rows: DataFrame, group: list[str]) -> DataFrame:
+    """n, mean and median of X and Y per group of long rows ``(label, *group, v)`` and the signed percent shift of the mean."""
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v"))
     sums = rows.groupBy(*group).agg(
         F.count_if(is_x()).alias("n_x"),
@@ -238,7 +232,7 @@ def conditional_shift(rows: DataFrame, group: list[str], value_groups: int, cut_
         F.avg(F.when(is_x(), F.col("v"))).alias("mean_x"),
         F.avg(F.when(is_y(), F.col("v"))).alias("mean_y"),
     )
-    medians = exact_quantiles(rows, [*group, "label"], "v", {"median": 0.5}, cut_by=cut_by, cut_groups=value_groups)
+    medians = exact_median(rows, [*group, "label"], "v")
     medians = medians.groupBy(*group).agg(
         F.max(F.when(is_x(), F.col("median"))).alias("median_x"),
         F.max(F.when(is_y(), F.col("median"))).alias("median_y"),
