@@ -69,9 +69,9 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 def vectors(spark: SparkSession, sf: str) -> TwoSample:
     """Embeddings with one column per dimension; labels below 5 are X, the others Y."""
     raw = table(spark, sf, "embeddings")
-    names = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(VECTOR_FEATURES)]
-    side = F.when(F.col("label") < 5, "X").otherwise("Y").alias("label")
-    return TwoSample(raw.select("vec_id", side, *names), VECTOR_FEATURES, key="vec_id")
+    names = [f"CAST(embedding[{i}] AS DOUBLE) AS {n}" for i, n in enumerate(VECTOR_FEATURES)]
+    frame = raw.selectExpr("vec_id", "CASE WHEN label < 5 THEN 'X' ELSE 'Y' END AS label", *names)
+    return TwoSample(frame, VECTOR_FEATURES, key="vec_id")
 
 
 # ---- the same samples in SQL ------------------------------------------------------------------------------------

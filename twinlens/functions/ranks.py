@@ -7,6 +7,7 @@ spread; only inside a range are rows put in order. Where only the middle is need
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import broadcast_if_small, durable
@@ -41,15 +42,17 @@ def _range_of(cuts: Column, count: int, value: str) -> Column:
 
 
 def with_range(rows: DataFrame, value: str, cuts, by: str | None = None, name: str = "range_id") -> DataFrame:
-    """Adds the number of the value range a row falls into."""
+    """Adds the number of the value range a row falls into, and with ``by`` also the middle cut as ``centre``."""
     if by is None:
         literal = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
         return rows.withColumn(name, _range_of(literal, len(cuts), value))
     longest = max((len(c) for c in cuts.values()), default=0)
-    key_type = rows.schema[by].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(list(cuts.items()), f"`{by}` {key_type}, cuts array<double>")
+    key_type = rows.schema[by].dataType
+    local = pa.table({by: list(cuts), "cuts": pa.array(list(cuts.values()), pa.list_(pa.float64()))})
+    table = rows.sparkSession.createDataFrame(local).withColumn(by, F.col(by).cast(key_type))
     joined = rows.join(F.broadcast(table), by)
-    return joined.withColumn(name, _range_of(F.col("cuts"), longest, value)).drop("cuts")
+    middle = F.get("cuts", F.floor(F.size("cuts") / 2).cast("int")).alias("centre")
+    return joined.select(*rows.columns, _range_of(F.col("cuts"), longest, value).alias(name), middle)
 
 
 def exact_median(rows: DataFrame, group: list[str], value: str, name: str = "median", few_groups: bool = True) -> DataFrame:

@@ -9,9 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 X, Y = "X", "Y"
 
 
+def ticked(name: str) -> str:
+    """Name as an SQL identifier that survives dots and spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
     """Column reference that survives dots and spaces in a name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ticked(name))
+
+
+def texts(values) -> Column:
+    """Array literal of strings."""
+    escaped = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in escaped) + ")")
 
 
 @dataclass(frozen=True)
@@ -41,7 +52,12 @@ class TwoSample:
 
     def vector(self) -> Column:
         """All features of a row as ARRAY<DOUBLE>, in id order."""
-        return F.array(*[quoted(n).cast("double") for n in self.features])
+        return F.expr("array(" + ", ".join(f"CAST({ticked(n)} AS DOUBLE)" for n in self.features) + ")")
+
+    def numbers(self) -> Column:
+        """All features as ARRAY<DOUBLE> with 0 for missing values, in id order."""
+        cells = (f"coalesce(nanvl(try_cast({ticked(n)} AS DOUBLE), CAST(NULL AS DOUBLE)), 0D)" for n in self.features)
+        return F.expr("array(" + ", ".join(cells) + ")")
 
     def long(self, *carry: str) -> DataFrame:
         """One row per observation and variable ``(label, *carry, id_variable, v)``; missing values are left out."""
@@ -53,7 +69,7 @@ class TwoSample:
     def name_of(self, id_variable: Column | str) -> Column:
         """Variable name for an id."""
         column = F.col(id_variable) if isinstance(id_variable, str) else id_variable
-        return F.get(F.array(*[F.lit(n) for n in self.features]), column)
+        return F.get(texts(self.features), column)
 
     def ids_of(self, names) -> list[int]:
         return [self.features.index(n) for n in names]

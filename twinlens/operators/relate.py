@@ -28,9 +28,8 @@ def gram_sums(sample: TwoSample, by: str | None = None) -> DataFrame:
     as 0, the pooled mean of scaled data.
     """
     d = len(sample.features)
-    values = F.array(*[F.coalesce(to_number(quoted(n)), F.lit(0.0)) for n in sample.features])
     group = F.col(by).cast("string") if by else F.lit("all")
-    rows = sample.frame.select(group.alias("group"), values.alias("values"))
+    rows = sample.frame.select(group.alias("group"), sample.numbers().alias("values"))
     i, j = np.triu_indices(d + 1)
     schema = pa.schema([("group", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.float64()), ("n", pa.int64())])
 

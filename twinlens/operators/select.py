@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranks import cut_points, with_range
 from ..model import TwoSample, is_x, is_y
-from .stats import _whole, scaling
+from .stats import _whole
 
 HISTOGRAM_BINS = 20
 
@@ -24,11 +24,16 @@ def wasserstein_weights(sample: TwoSample, scale: bool = True, ranges: int | Non
     counts = long.groupBy("id_variable", "v").agg(F.count_if(is_x()).alias("nx"), F.count_if(is_y()).alias("ny"))
     counts = with_range(counts, "v", cuts, "id_variable")
 
+    # one row per variable and range, with the height of both functions at its start and the pooled spread around
+    # the middle cut, which lies within one standard deviation of the mean
     in_order = Window.partitionBy("id_variable").orderBy("range_id")
     whole = Window.partitionBy("id_variable")
+    n, off = F.col("nx") + F.col("ny"), F.col("v") - F.col("centre")
     spans = counts.groupBy("id_variable", "range_id").agg(
-        F.sum("nx").alias("sx"), F.sum("ny").alias("sy"), F.min("v").alias("first")
+        F.sum("nx").alias("sx"), F.sum("ny").alias("sy"), F.min("v").alias("first"), F.sum(n * off).alias("s1"), F.sum(n * off * off).alias("s2")
     )
+    total = F.sum(F.col("sx") + F.col("sy")).over(whole)
+    mean = F.sum("s1").over(whole) / total
     spans = spans.select(
         "id_variable",
         "range_id",
@@ -37,21 +42,27 @@ def wasserstein_weights(sample: TwoSample, scale: bool = True, ranges: int | Non
         F.sum("sx").over(whole).alias("total_x"),
         F.sum("sy").over(whole).alias("total_y"),
         F.lead("first").over(in_order).alias("next_first"),
+        F.sqrt(F.greatest(F.sum("s2").over(whole) / total - mean * mean, F.lit(0.0))).alias("std"),
     )
-    # at most one row per variable and range
-    joined = counts.join(F.broadcast(spans), ["id_variable", "range_id"])
     inside = Window.partitionBy("id_variable", "range_id").orderBy("v")
-    share = lambda n, before, total: F.try_divide(F.col(before) + F.sum(n).over(inside), F.col(total))
-    step = F.coalesce(F.lead("v").over(inside), F.col("next_first")) - F.col("v")
-    gap = F.abs(share("nx", "before_x", "total_x") - share("ny", "before_y", "total_y"))
-    area = joined.withColumn("part", gap * step).groupBy("id_variable").agg(F.sum("part").alias("area"))
-    if not scale:
-        weight = F.coalesce("area", F.lit(0.0))
-        return area.select("id_variable", sample.name_of("id_variable").alias("name_variable"), weight.alias("weight"))
-    divisor = F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std"))
-    weight = F.coalesce(F.col("area") / divisor, F.lit(0.0))
-    rows = scaling(sample).join(F.broadcast(area), "id_variable", "left")
-    return rows.select("id_variable", "name_variable", weight.alias("weight"))
+    running = counts.select(
+        "id_variable",
+        "range_id",
+        "v",
+        F.sum("nx").over(inside).alias("cx"),
+        F.sum("ny").over(inside).alias("cy"),
+        F.lead("v").over(inside).alias("next_v"),
+    )
+    joined = running.join(F.broadcast(spans), ["id_variable", "range_id"])
+    height = lambda c, before, whole_side: F.try_divide(F.col(before) + F.col(c), F.col(whole_side))
+    gap = F.abs(height("cx", "before_x", "total_x") - height("cy", "before_y", "total_y"))
+    step = F.coalesce("next_v", "next_first") - F.col("v")
+    divisor = F.when(F.lit(not scale) | (F.col("std") < 1e-8), 1.0).otherwise(F.col("std"))
+    area = joined.groupBy("id_variable").agg(F.sum(gap * step / divisor).alias("area"))
+    # a variable without any value has no row yet
+    names = sample.frame.sparkSession.range(len(sample.features)).select(F.col("id").cast("int").alias("id_variable"))
+    rows = names.join(F.broadcast(area), "id_variable", "left")
+    return rows.select("id_variable", sample.name_of("id_variable").alias("name_variable"), F.coalesce("area", F.lit(0.0)).alias("weight"))
 
 
 def max_normalised(weights: DataFrame) -> DataFrame:
@@ -60,27 +71,20 @@ def max_normalised(weights: DataFrame) -> DataFrame:
     return weights.withColumn("weight", F.when(top > 0, F.col("weight") / top).otherwise(F.col("weight")))
 
 
-def _histogram_cut(all_weights: Column) -> Column:
-    """Upper edge of the valley in a histogram of 20 equal bins over [0, largest weight].
+def _valley(bins: Column) -> Column:
+    """Number of the valley among histogram counts, NULL without one.
 
     The valley is the first empty bin above the first occupied one; without an empty bin, the emptiest bin strictly
-    between the two fullest bins. NULL where there is no valley. This rule is ours.
+    between the two fullest bins. This rule is ours.
     """
-    n = HISTOGRAM_BINS
-    top = F.array_max(F.transform(all_weights, lambda w: w["weight"]))
-    # a weight that sits on an edge up to rounding belongs to the upper bin
-    bin_of = lambda w: F.least(F.floor(F.try_divide(w["weight"], top) * n + 1e-9), F.lit(n - 1))
-    ids = F.sequence(F.lit(0), F.lit(n - 1))
-    bins = F.transform(
-        ids, lambda i: F.struct(F.size(F.filter(all_weights, lambda w: bin_of(w) == i)).alias("n"), i.alias("i"))
-    )
-    first = F.array_min(F.transform(F.filter(bins, lambda b: b["n"] > 0), lambda b: b["i"]))
-    empty = F.array_min(F.transform(F.filter(bins, lambda b: (b["n"] == 0) & (b["i"] > first)), lambda b: b["i"]))
-    fullest = F.slice(F.array_sort(F.transform(bins, lambda b: F.struct((-b["n"]).alias("n"), b["i"].alias("i")))), 1, 2)
-    peaks = F.transform(fullest, lambda b: b["i"])
-    between = F.filter(bins, lambda b: (b["i"] > F.array_min(peaks)) & (b["i"] < F.array_max(peaks)))
-    valley = F.coalesce(empty, F.get(F.array_sort(between), 0)["i"])
-    return F.when(top > 0, (valley + 1) / n * top)
+    numbered = F.transform(bins, lambda n, i: F.named_struct(F.lit("n"), n, F.lit("i"), i))
+    place = lambda entry: entry["i"]
+    first = F.array_min(F.transform(F.filter(numbered, lambda b: b["n"] > 0), place))
+    empty = F.array_min(F.transform(F.filter(numbered, lambda b: (b["n"] == 0) & (b["i"] > first)), place))
+    fullest = F.slice(F.array_sort(F.transform(numbered, lambda b: F.named_struct(F.lit("n"), -b["n"], F.lit("i"), b["i"]))), 1, 2)
+    peaks = F.transform(fullest, place)
+    between = F.filter(numbered, lambda b: (b["i"] > F.array_min(peaks)) & (b["i"] < F.array_max(peaks)))
+    return F.coalesce(empty, F.get(F.array_sort(between), 0)["i"])
 
 
 def select_variables(
@@ -92,26 +96,35 @@ def select_variables(
 ) -> DataFrame:
     """Anchor variables ``(id_variable, name_variable, weight)`` from a table with one row per variable.
 
-    ``threshold`` keeps weights at or above the cut, ``hist_based`` cuts at a histogram valley. With nothing
-    selected the ``top_k`` largest weights are taken. ``trim`` also replaces an all-or-nothing selection by the
-    ``top_k`` and cuts a longer one down to it. All rows of the small table are handled as one array.
+    ``threshold`` keeps weights at or above the cut. ``hist_based`` cuts at the upper edge of the valley in a histogram
+    of 20 equal bins over [0, largest weight]. With nothing selected the ``top_k`` largest weights are taken. ``trim``
+    also replaces an all-or-nothing selection by the ``top_k`` and cuts a longer one down to it.
     """
     if approach not in ("hist_based", "threshold"):
         raise ValueError(f"unknown detection approach {approach!r}")
-    entry = F.struct((-F.col("weight")).alias("rank"), "id_variable", "name_variable", "weight")
-    table = weights.agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
-    cut = F.lit(threshold) if approach == "threshold" else _histogram_cut(F.col("ranked"))
-    table = table.withColumn("cut", cut.cast("double"))
+    n = HISTOGRAM_BINS
+    rows = weights.withColumn("top", F.max("weight").over(_whole()))
+    # a weight that sits on an edge up to rounding belongs to the upper bin
+    rows = rows.withColumn("bin", F.least(F.floor(F.try_divide("weight", "top") * n + 1e-9), F.lit(n - 1)))
+    bins = F.array(*[F.count_if(F.col("bin") == i) for i in range(n)])
+    table = rows.agg(F.max("top").alias("top"), bins.alias("bins"), F.collect_list(F.struct("id_variable", "name_variable", "weight")).alias("all"))
+    edge = F.when(F.col("top") > 0, (_valley(F.col("bins")) + 1) / n * F.col("top"))
+    cut = F.lit(float(threshold)) if approach == "threshold" else edge
+    rows = table.select(cut.alias("cut"), F.inline("all"))
     # a cut that equals a weight up to rounding keeps it
-    table = table.withColumn("chosen", F.filter("ranked", lambda w: w["weight"] >= F.col("cut") - 1e-12))
-    best = F.slice(F.col("ranked"), 1, top_k)
-    none = F.coalesce(F.size("chosen"), F.lit(0)) == 0
-    if trim:
-        everything = F.size("chosen") == F.size("ranked")
-        kept = F.when(none | everything, best).otherwise(F.slice(F.col("chosen"), 1, top_k))
-    else:
-        kept = F.when(none, best).otherwise(F.col("chosen"))
-    return table.select(F.inline(kept)).select("id_variable", "name_variable", "weight")
+    rows = rows.withColumn("hit", F.coalesce(F.col("weight") >= F.col("cut") - 1e-12, F.lit(False)))
+    best = Window.orderBy(F.col("weight").desc(), "id_variable")
+    rows = rows.select(
+        "*",
+        F.row_number().over(best).alias("place"),
+        F.count_if("hit").over(_whole()).alias("hits"),
+        F.count("*").over(_whole()).alias("d"),
+    )
+    among_best = F.col("place") <= top_k
+    # the hits are the largest weights, so the best hits are the best rows
+    kept = F.col("hit") & among_best if trim else F.col("hit")
+    fallback = (F.col("hits") == 0) | ((F.col("hits") == F.col("d")) if trim else F.lit(False))
+    return rows.where(F.when(fallback, among_best).otherwise(kept)).select("id_variable", "name_variable", "weight")
 
 
 def wasserstein_select(

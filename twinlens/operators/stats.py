@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.ranks import exact_median
 from ..functions.values import to_number
-from ..model import X, Y, TwoSample, is_x, is_y, quoted
+from ..model import X, Y, TwoSample, is_x, is_y, quoted, ticked
 
 BINS = 24
-WIDE_AGGREGATE_COLUMNS = 64
+WIDE_AGGREGATE_COLUMNS = 16
 
 
 def unpivot_numbers(df: DataFrame, columns, carry=("label",), name: str = "name_metric") -> DataFrame:
@@ -172,9 +172,9 @@ def scale_values(sample: TwoSample) -> dict[str, tuple[float, float]]:
 def scaled(sample: TwoSample, values: dict[str, tuple[float, float]] | None = None) -> TwoSample:
     """Pooled z-scores; the scalars are literals, so scaling is a projection in the scan's own stage."""
     values = values or scale_values(sample)
-    new = {n: (quoted(n).cast("double") - F.lit(m)) / F.lit(s) for n, (m, s) in values.items()}
+    score = lambda c: "(CAST({0} AS DOUBLE) - {1!r}D) / {2!r}D AS {0}".format(ticked(c), *map(float, values[c]))
     frame = sample.frame
-    return sample.with_frame(frame.select(*[new[c].alias(c) if c in new else quoted(c) for c in frame.columns]))
+    return sample.with_frame(frame.selectExpr(*[score(c) if c in values else ticked(c) for c in frame.columns]))
 
 
 def mean_shift_weights(sample: TwoSample) -> DataFrame:
