@@ -93,38 +93,41 @@ def select_variables(
     threshold: float = 0.1,
     top_k: int = 5,
     trim: bool = False,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Anchor variables ``(id_variable, name_variable, weight)`` from a table with one row per variable.
 
     ``threshold`` keeps weights at or above the cut. ``hist_based`` cuts at the upper edge of the valley in a histogram
     of 20 equal bins over [0, largest weight]. With nothing selected the ``top_k`` largest weights are taken. ``trim``
-    also replaces an all-or-nothing selection by the ``top_k`` and cuts a longer one down to it.
+    also replaces an all-or-nothing selection by the ``top_k`` and cuts a longer one down to it. ``by`` names columns
+    with one selection each.
     """
     if approach not in ("hist_based", "threshold"):
         raise ValueError(f"unknown detection approach {approach!r}")
     n = HISTOGRAM_BINS
-    rows = weights.withColumn("top", F.max("weight").over(_whole()))
+    every = Window.partitionBy(*by)
+    rows = weights.withColumn("top", F.max("weight").over(every))
     # a weight that sits on an edge up to rounding belongs to the upper bin
     rows = rows.withColumn("bin", F.least(F.floor(F.try_divide("weight", "top") * n + 1e-9), F.lit(n - 1)))
     bins = F.array(*[F.count_if(F.col("bin") == i) for i in range(n)])
-    table = rows.agg(F.max("top").alias("top"), bins.alias("bins"), F.collect_list(F.struct("id_variable", "name_variable", "weight")).alias("all"))
+    table = rows.groupBy(*by).agg(F.max("top").alias("top"), bins.alias("bins"), F.collect_list(F.struct("id_variable", "name_variable", "weight")).alias("all"))
     edge = F.when(F.col("top") > 0, (_valley(F.col("bins")) + 1) / n * F.col("top"))
     cut = F.lit(float(threshold)) if approach == "threshold" else edge
-    rows = table.select(cut.alias("cut"), F.inline("all"))
+    rows = table.select(*by, cut.alias("cut"), F.inline("all"))
     # a cut that equals a weight up to rounding keeps it
     rows = rows.withColumn("hit", F.coalesce(F.col("weight") >= F.col("cut") - 1e-12, F.lit(False)))
-    best = Window.orderBy(F.col("weight").desc(), "id_variable")
+    best = every.orderBy(F.col("weight").desc(), "id_variable")
     rows = rows.select(
         "*",
         F.row_number().over(best).alias("place"),
-        F.count_if("hit").over(_whole()).alias("hits"),
-        F.count("*").over(_whole()).alias("d"),
+        F.count_if("hit").over(every).alias("hits"),
+        F.count("*").over(every).alias("d"),
     )
     among_best = F.col("place") <= top_k
     # the hits are the largest weights, so the best hits are the best rows
     kept = F.col("hit") & among_best if trim else F.col("hit")
     fallback = (F.col("hits") == 0) | ((F.col("hits") == F.col("d")) if trim else F.lit(False))
-    return rows.where(F.when(fallback, among_best).otherwise(kept)).select("id_variable", "name_variable", "weight")
+    return rows.where(F.when(fallback, among_best).otherwise(kept)).select(*by, "id_variable", "name_variable", "weight")
 
 
 def wasserstein_select(
