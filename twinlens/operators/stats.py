@@ -62,9 +62,14 @@ def label_totals(df: DataFrame, label: str = "label") -> dict[str, int]:
     return {r["label"]: r["n"] for r in df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
 
 
-def category_comparison(df: DataFrame, column: str, top_n: int = 10, label: str = "label") -> DataFrame:
-    """Counts and shares of the ``top_n`` most frequent categories; a missing value is a category of its own."""
-    totals = label_totals(df, label)
+def category_comparison(
+    df: DataFrame, column: str, top_n: int = 10, label: str = "label", totals: dict[str, int] | None = None
+) -> DataFrame:
+    """Counts and shares of the ``top_n`` most frequent categories; a missing value is a category of its own.
+
+    ``totals`` are the rows per label, where the caller knows them.
+    """
+    totals = totals or label_totals(df, label)
     total_x, total_y = max(totals.get(X, 0), 1), max(totals.get(Y, 0), 1)
     counts = df.where(F.col(label).isin(X, Y)).groupBy(
         F.coalesce(quoted(column).cast("string"), F.lit("Missing")).alias("name_category")

@@ -72,6 +72,6 @@ class Dating:
             "preferences": stats.numeric_comparison(split, PREFERENCES),
             "missingness": stats.top_missing(stats.missingness(split), 15),
         }
-        tables = {name: t for name, t in tables.items() if t is not None}
         present = {c: n for c, n in REPORT_CATEGORIES.items() if c in raw.columns}
-        return tables | {c: stats.category_comparison(split, c, n) for c, n in present.items()}
+        totals = stats.label_totals(split) if present else None
+        return tables | {c: stats.category_comparison(split, c, n, totals=totals) for c, n in present.items()}

@@ -118,4 +118,5 @@ class Housing:
             "absence": stats.top_missing(missing.where(F.col("name_column").isin(ABSENT_CATEGORIES + ABSENT_AMOUNTS))),
         }
         present = {c: n for c, n in REPORT_CATEGORIES.items() if c in raw.columns}
-        return tables | {c: stats.category_comparison(split, c, n) for c, n in present.items()}
+        totals = stats.label_totals(split) if present else None
+        return tables | {c: stats.category_comparison(split, c, n, totals=totals) for c, n in present.items()}
