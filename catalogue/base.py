@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinlens.model import TwoSample
 from twinlens.operators.sample import split_by_values
+from twinlens.runtime import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +50,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def _by_year(df: DataFrame, date: str) -> DataFrame:
     """Year column behind a date range that the scan can use to skip row groups."""
     inside = (F.col(date) >= F.lit("1996-01-01").cast("timestamp")) & (F.col(date) < F.lit("2001-01-01").cast("timestamp"))
-    return df.where(inside).withColumn("year", F.year(date))
+    return spread(df.where(inside)).withColumn("year", F.year(date))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:

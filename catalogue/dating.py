@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinlens.operators import pairs
 from twinlens.plans import dating
-from twinlens.runtime import durable
+from twinlens.runtime import durable, spread
 
 from .base import query, r, rounded, table
 
@@ -43,7 +43,7 @@ def _cast(name: str, text: str) -> str:
 
 
 def cards(spark, sf):
-    rows = table(spark, sf, "lineitem")
+    rows = spread(table(spark, sf, "lineitem"))
     return rows.select(*[F.expr(_cast(name, text)).alias(name) for name, text in ANSWERS.items()])
 
 

@@ -39,6 +39,15 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out evenly where a table has fewer splits than the cluster has cores.
+
+    A table of many splits, as any large one is, comes back as it is and is not shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a materialised table for broadcast when it has at most ``max_rows`` rows.
 
