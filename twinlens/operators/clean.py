@@ -144,9 +144,9 @@ def impute_group_median(
         return df
     clean = coerce_numbers(df, [target])
     overall = column_medians(clean, [target]).get(target, fallback)
-    grouped = clean.where(quoted(group).isNotNull()).select(quoted(group).alias("g"), quoted(target).alias("v"))
-    medians = durable(exact_median(grouped, ["g"], "v", "group_median", few_groups=False), "medians")
-    joined = clean.join(broadcast_if_small(medians, broadcast_rows), quoted(group) == F.col("g"), "left")
+    grouped = clean.where(quoted(group).isNotNull()).select(quoted(group).alias("median_of"), quoted(target).alias("v"))
+    medians = durable(exact_median(grouped, ["median_of"], "v", "group_median", few_groups=False), "medians")
+    joined = clean.join(broadcast_if_small(medians, broadcast_rows), quoted(group) == F.col("median_of"), "left")
     filled = F.coalesce(quoted(target), F.col("group_median"), F.lit(float(overall)))
     return joined.select(*[filled.alias(c) if c == target else quoted(c) for c in df.columns])
 

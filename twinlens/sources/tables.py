@@ -30,9 +30,8 @@ METADATA_TABLE = "dataset_metadata"
 
 
 def _malformed(spark: SparkSession, path: str) -> bool:
-    """Whether a text file holds bytes that are no UTF-8; decoding marks them with U+FFFD."""
-    lines = spark.read.option("encoding", "UTF-8").text(path)
-    return not lines.where(F.col("value").contains("�")).isEmpty()
+    """Whether a text file holds bytes that are no UTF-8."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None) -> DataFrame:
