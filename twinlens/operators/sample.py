@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import row_hash
+from ..functions.ranks import exact_median
 from ..model import X, Y, TwoSample, quoted
 
 TRANSITION = "T"
@@ -50,27 +51,12 @@ def split_rest(df: DataFrame, key: str | None = None, label: str = "label") -> D
 
 
 def split_in_halves(df: DataFrame, key: str | None, label: str = "label") -> DataFrame:
-    """The first half of the keys is X, the second half Y.
-
-    The border is the key of rank floor(n/2), found from exact order statistics; no global sort of the rows.
-    """
+    """The first half of the numeric keys is X, the second half Y; the border is their exact upper median."""
     if key is None:
         raise KeyError("a key column is needed to split the table in halves")
-    from ..functions.ranks import cut_points, with_range
-
-    keys = df.select(quoted(key).cast("double").alias("k"))
-    total = df.count()
-    ranged = with_range(keys, "k", cut_points(keys, "k"))
-    held = {r["range_id"]: r["n"] for r in ranged.groupBy("range_id").agg(F.count("*").alias("n")).collect()}
-    before, half = 0, total // 2
-    for range_id in sorted(held):
-        if before + held[range_id] > half:
-            break
-        before += held[range_id]
-    inside = ranged.where(F.col("range_id") == range_id).groupBy("k").agg(F.count("*").alias("n"))
-    upto = F.lit(before) + F.sum("n").over(Window.orderBy("k"))
-    border = inside.withColumn("upto", upto).where(F.col("upto") > half).agg(F.min("k").alias("k")).first()["k"]
-    return df.withColumn(label, F.when(quoted(key).cast("double") < F.lit(border), X).otherwise(Y))
+    number = quoted(key).cast("double")
+    border = exact_median(df.select(number.alias("k")), [], "k", "border", upper=True).first()["border"]
+    return df.withColumn(label, F.when(number < F.lit(border), X).otherwise(Y))
 
 
 def _prefix_ranks(hashed: DataFrame, label: str, wanted: Column) -> DataFrame:

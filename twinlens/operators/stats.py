@@ -228,8 +228,11 @@ def grouped_line(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     )
 
 
-def conditional_shift(rows: DataFrame, group: list[str]) -> DataFrame:
-    """n, mean and median of X and Y per group of long rows ``(label, *group, v)`` and the signed percent shift of the mean."""
+def conditional_shift(rows: DataFrame, group: list[str], few_groups: bool = True) -> DataFrame:
+    """n, mean and median of X and Y per group of long rows ``(label, *group, v)`` and the signed percent shift of the mean.
+
+    ``few_groups`` states that the number of groups does not grow with the rows.
+    """
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v"))
     sums = rows.groupBy(*group).agg(
         F.count_if(is_x()).alias("n_x"),
@@ -237,14 +240,15 @@ def conditional_shift(rows: DataFrame, group: list[str]) -> DataFrame:
         F.avg(F.when(is_x(), F.col("v"))).alias("mean_x"),
         F.avg(F.when(is_y(), F.col("v"))).alias("mean_y"),
     )
-    medians = exact_median(rows, [*group, "label"], "v")
+    medians = exact_median(rows, [*group, "label"], "v", few_groups=few_groups)
     medians = medians.groupBy(*group).agg(
         F.max(F.when(is_x(), F.col("median"))).alias("median_x"),
         F.max(F.when(is_y(), F.col("median"))).alias("median_y"),
     )
     shift = (F.col("mean_y") - F.col("mean_x")) / F.nullif(F.col("mean_x"), F.lit(0.0)) * 100.0
     percent = F.when(F.col("mean_x").isNotNull() & F.col("mean_y").isNotNull(), F.coalesce(shift, F.lit(0.0)))
-    return sums.join(F.broadcast(medians), group).select(
+    medians = F.broadcast(medians) if few_groups else medians
+    return sums.join(medians, group).select(
         *group, "n_x", "mean_x", "median_x", "n_y", "mean_y", "median_y", percent.alias("percent_shift")
     )
 
