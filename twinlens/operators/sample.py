@@ -59,51 +59,50 @@ def split_in_halves(df: DataFrame, key: str | None, label: str = "label") -> Dat
     return df.withColumn(label, F.when(number < F.lit(border), X).otherwise(Y))
 
 
-def _prefix_ranks(hashed: DataFrame, label: str, wanted: Column) -> DataFrame:
-    """Per label, the border of the ``wanted`` smallest hashes at two levels of three hex digits each.
+def _hash_borders(df: DataFrame, key: str, wanted: Column, seed: int, label: str) -> DataFrame:
+    """Per label, hash and key of the last of the ``wanted`` rows in hash order: ``(label, total, edge_hash, edge_key)``.
 
-    Hash prefixes are uniform, so a border cell of the second level holds about one row in 16 million. Only that
-    cell is ever sorted; everything before it is taken by comparison with the border.
+    Rows are counted by the first three hex digits of their hash, then, behind the border, by the next three. Hashes
+    are uniform, so the border cell of the second level holds about one row in 16 million; only that cell is sorted.
     """
     by_label = Window.partitionBy(label)
+    digits = row_hash(quoted(key), seed)
+    hashed = df.select(
+        label, F.substring(digits, 1, 3).alias("p1"), F.substring(digits, 4, 3).alias("p2"), digits.alias("h"), quoted(key).alias("k")
+    )
 
-    def border(cells: DataFrame, digit: str, need: Column, spare: list[str]) -> DataFrame:
-        upto = F.sum("n").over(by_label.orderBy(digit))
-        return (
-            cells.withColumn("before", upto - F.col("n"))
-            .withColumn("upto", upto)
-            .where((F.col("before") < need) & (F.col("upto") >= need))
-            .select(label, digit, *spare, (need - F.col("before")).alias("need"))
-        )
+    def border(cells: DataFrame, level: str, need: str, keep: list[str]) -> DataFrame:
+        upto = F.sum("n").over(by_label.orderBy(level))
+        cells = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+        found = cells.where((F.col("before") < F.col(need)) & (F.col("upto") >= F.col(need)))
+        return found.select(label, level, *keep, (F.col(need) - F.col("before")).alias("need"))
 
     first = hashed.groupBy(label, "p1").agg(F.count("*").alias("n"))
-    first = first.withColumn("total", F.sum("n").over(by_label)).withColumn("wanted", wanted)
-    first = border(first, "p1", F.col("wanted"), ["total", "wanted"])
-    second = (
-        hashed.join(F.broadcast(first), [label, "p1"])
-        .groupBy(label, "p1", "p2", "need")
-        .agg(F.count("*").alias("n"))
-    )
-    second = border(second, "p2", F.col("need"), ["p1"])
-    return second.select(label, F.concat("p1", "p2").alias("edge"), "need")
+    first = first.withColumn("total", F.sum("n").over(by_label))
+    first = border(first.withColumn("wanted", F.least(wanted.cast("bigint"), F.col("total"))), "p1", "wanted", ["total"])
+    second = hashed.join(F.broadcast(first), [label, "p1"]).groupBy(label, "p1", "total", "p2", "need").agg(F.count("*").alias("n"))
+    second = border(second, "p2", "need", ["p1", "total"])
+    cell = hashed.join(F.broadcast(second), [label, "p1", "p2"])
+    cell = cell.withColumn("place", F.row_number().over(by_label.orderBy("h", "k"))).where(F.col("place") == F.col("need"))
+    return cell.select(label, "total", F.col("h").alias("edge_hash"), F.col("k").alias("edge_key"))
+
+
+def _up_to_border(df: DataFrame, key: str, wanted: Column, seed: int, label: str) -> tuple[DataFrame, Column]:
+    """The table with its borders, and whether a row comes no later than the border of its label."""
+    borders = _hash_borders(df, key, wanted, seed, label)
+    joined = df.withColumn("row_hash", row_hash(quoted(key), seed)).join(F.broadcast(borders), label)
+    before = F.col("row_hash") < F.col("edge_hash")
+    return joined, before | ((F.col("row_hash") == F.col("edge_hash")) & (quoted(key) <= F.col("edge_key")))
 
 
 def take_by_hash(df: DataFrame, key: str, wanted: Column, seed: int, label: str = "label") -> DataFrame:
     """The ``wanted`` rows per label with the smallest row hash; ``wanted`` may use the column ``total``.
 
-    ``key`` identifies a row. A label with no more than ``wanted`` rows is kept whole.
+    ``key`` identifies a row. A label with no more than ``wanted`` rows is kept whole. The rows themselves are only
+    filtered by comparison with the border of their label.
     """
-    wanted = F.least(wanted.cast("bigint"), F.col("total"))
-    digits = row_hash(quoted(key), seed)
-    hashed = df.select(label, F.substring(digits, 1, 3).alias("p1"), F.substring(digits, 4, 3).alias("p2"))
-    edges = _prefix_ranks(hashed, label, wanted)
-    marked = df.withColumn("row_hash", digits).join(F.broadcast(edges), label)
-    prefix = F.substring("row_hash", 1, 6)
-    clear = marked.where(prefix < F.col("edge"))
-    cell = Window.partitionBy(label).orderBy("row_hash", quoted(key))
-    on_edge = marked.where(prefix == F.col("edge")).withColumn("place", F.row_number().over(cell))
-    on_edge = on_edge.where(F.col("place") <= F.col("need")).drop("place")
-    return clear.unionByName(on_edge).drop("row_hash", "edge", "need")
+    joined, inside = _up_to_border(df, key, wanted, seed, label)
+    return joined.where(inside).select(*[quoted(c) for c in df.columns])
 
 
 def capped(df: DataFrame, key: str, limit: int | None, seed: int = 42, label: str = "label") -> DataFrame:
@@ -127,19 +126,10 @@ def train_test_parts(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 42
     train rows themselves where no row is left.
     """
     size = F.greatest(F.lit(5), F.floor(F.lit(ratio) * F.col("total")))
-    digits = row_hash(quoted(key), seed)
-    hashed = df.select(label, F.substring(digits, 1, 3).alias("p1"), F.substring(digits, 4, 3).alias("p2"))
-    edges = _prefix_ranks(hashed, label, F.least(size, F.col("total")))
-    counts = df.groupBy(label).agg(F.count("*").alias("total"))
-    edges = edges.join(counts, label).withColumn("all_train", F.col("total") <= size).drop("total")
-    marked = df.withColumn("row_hash", digits).join(F.broadcast(edges), label)
-    prefix = F.substring("row_hash", 1, 6)
-    clear = marked.where(prefix != F.col("edge")).withColumn("is_train", prefix < F.col("edge"))
-    cell = Window.partitionBy(label).orderBy("row_hash", quoted(key))
-    on_edge = marked.where(prefix == F.col("edge"))
-    on_edge = on_edge.withColumn("is_train", F.row_number().over(cell) <= F.col("need"))
-    parts = clear.unionByName(on_edge).withColumn("is_test", ~F.col("is_train") | F.col("all_train"))
-    return parts.drop("row_hash", "edge", "need", "all_train")
+    joined, inside = _up_to_border(df, key, size, seed, label)
+    parts = joined.withColumn("is_train", inside)
+    rest = ~F.col("is_train") | (F.col("total") <= size)
+    return parts.withColumn("is_test", rest).select(*[quoted(c) for c in df.columns], "is_train", "is_test")
 
 
 def in_scope(sample: TwoSample, scope: str, limit: int | None, seed: int = 42) -> TwoSample:
