@@ -8,7 +8,7 @@ from twinlens.operators import pairs
 from twinlens.plans import dating
 from twinlens.runtime import durable, spread
 
-from .base import query, r, rounded, table
+from .base import query, rounded, table
 
 # Column -> expression that reads the same in Spark SQL and in DuckDB. Every answer depends on the person (iid) and
 # on the date (line item), some are missing.

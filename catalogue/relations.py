@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from twinlens.operators import relate
 
-from .base import SQL_LINES, line_sample, query, r, rounded, vectors
+from .base import SQL_LINES, line_sample, query, rounded, vectors
 
 SQL_RELATION = """
 pooled AS (SELECT CAST(u.i AS INTEGER) - 1 AS id_variable, vec_id, CAST(embedding[u.i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u),

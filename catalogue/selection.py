@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from twinlens.operators import select, stats
 
-from .base import SQL_LINES_LONG, SQL_VECTORS, SQL_WASSERSTEIN, line_sample, query, r, rounded, sql_selection, vectors
+from .base import SQL_LINES_LONG, SQL_VECTORS, SQL_WASSERSTEIN, line_sample, query, rounded, sql_selection, vectors
 
 
 @query("wasserstein_weights", f"""

@@ -8,7 +8,7 @@ from twinlens.operators import stats
 from twinlens.operators.sample import split_by_values, split_three_way
 
 from .base import (
-    LINE_FEATURES, SQL_LINES, SQL_LINES_LONG, SQL_ORDERS, SQL_SCALING, YEARS_X, YEARS_Y, line_sample, lines, orders, query, rounded, table,
+    LINE_FEATURES, SQL_LINES, SQL_LINES_LONG, SQL_ORDERS, YEARS_X, YEARS_Y, line_sample, lines, orders, query, rounded, table,
 )
 
 MOMENTS = "mean_x std_x median_x min_x max_x mean_y std_y median_y min_y max_y delta_mean percentage_change_mean".split()

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinlens.operators import cluster, relate
+from twinlens.operators import relate
 from twinlens.runtime import fresh_folder
 from twinlens.sources import tables
 
 from .base import SQL_VECTORS, query, r, rounded, table, vectors
 from .relations import SQL_RELATION
-from .themes import AUGMENT, SQL_THEMES, SQL_TWO, themed, two_subspaces
+from .themes import SQL_THEMES, SQL_TWO, themed, two_subspaces
 
 
 @query("csv_scan", """

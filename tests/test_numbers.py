@@ -287,12 +287,20 @@ def test_mmd_formula(spark, shifted):
 
 def test_mmd_blocks_use_every_row(shifted):
     x, y, made = shifted
-    packed = mmd.packed_blocks(made, block_rows=16).toPandas()
+    packed = mmd.packed_blocks(made, block_rows=16).frame.toPandas()
     rows = sum(len(v) for v in packed["x"]) // (8 * 5), sum(len(v) for v in packed["y"]) // (8 * 5)
     assert len(packed) == 4 and rows == (60, 60)
     assert mmd.mmd_squared(made, 2.0, 16).first()["mmd_squared"] == pytest.approx(brute_mmd(x, y, np.full(5, 0.5)), abs=0.05)
 
 
+def test_block_sums_on_executors_and_driver_agree(shifted, monkeypatch):
+    packed = mmd.packed_blocks(shifted[2], block_rows=16)
+    sums = lambda: mmd._sum_over_blocks(packed, 2, lambda b, run: mmd.kernel_sums(b, np.full(5, 0.5 + run), 0), 6)
+    direct = sums()
+    monkeypatch.setattr(mmd, "DIRECT_SUM_LIMIT", 0)
+    np.testing.assert_allclose(sums(), direct)
+
+
 def test_power_gradient():
     draw = np.random.default_rng(10)
     x, y = draw.normal(size=(12, 3)), draw.normal(0.5, 1.3, size=(15, 3))

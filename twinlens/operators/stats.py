@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from ..functions.ranks import exact_median
 from ..functions.values import to_number
@@ -141,10 +141,8 @@ def overview(df: DataFrame, label: str = "label") -> DataFrame:
     return both.select("label", "n", share.alias("share"), F.lit(len(df.columns) - 1).cast("bigint").alias("n_columns"))
 
 
-def _whole():
+def _whole() -> WindowSpec:
     """Window over a table whose row count is bounded by the schema."""
-    from pyspark.sql import Window
-
     return Window.partitionBy()
 
 
