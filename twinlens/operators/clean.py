@@ -107,14 +107,12 @@ def impute_modes(df: DataFrame, columns, fallback: int = 1) -> DataFrame:
 def impute_generic(df: DataFrame, columns=None) -> DataFrame:
     """Numbers get their median (else 0), all other columns their mode (else ``'None'``)."""
     names = _present(df, columns if columns is not None else df.columns)
-    numeric = [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
-    other = [c for c in names if c not in numeric]
-    gaps = [c for c in names if c in _with_gaps(df, names)]
-    medians = column_medians(df, [c for c in numeric if c in gaps])
-    modes = column_modes(df, [c for c in other if c in gaps])
-    fills = {c: float(medians.get(c, 0.0)) for c in numeric if c in gaps}
-    fills.update({c: modes.get(c, "None") for c in other if c in gaps})
-    return _fill_values(coerce_numbers(df, [c for c in numeric if c in gaps]), fills)
+    gaps = _with_gaps(df, names)
+    numeric = [c for c in names if c in gaps and isinstance(df.schema[c].dataType, T.NumericType)]
+    other = [c for c in names if c in gaps and c not in numeric]
+    medians, modes = column_medians(df, numeric), column_modes(df, other)
+    fills = {c: float(medians.get(c, 0.0)) for c in numeric} | {c: modes.get(c, "None") for c in other}
+    return _fill_values(coerce_numbers(df, numeric), fills)
 
 
 def _with_gaps(df: DataFrame, names: list[str]) -> set[str]:
