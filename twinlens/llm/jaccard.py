@@ -5,9 +5,12 @@ bounds their symmetric difference by k = (p + q)(1 - t)/(1 + t); with the shingl
 segments hold the same shingles in both. The tokens of the matrix are such segment contents: sets that link share at least
 ``SPARE`` + 1 of them, whatever shingles the corpus has in common, so frequent passages make no frequent tokens.
 
-Classes are compared with one pivot for each token first; what links forms groups of similar documents. The matrix then holds
-the union of each group's tokens. A class whose overlap with a group's union is below its bound links with nothing in that
-group; only qualifying groups are opened, and their members' sets are compared exactly.
+A group holds the classes that share a token with its pivot. The matrix has the union of its members' tokens, those that two
+members have; a class whose overlap with it is below the class's bound links with nothing in the group and is left
+out. The others are compared with the pivot. A group in which all link with the pivot is settled; only groups with a member
+that does not are opened. There members are compared by what sets them apart from the pivot: if one of two linked sets is
+not linked with the pivot, their differences from it overlap, and by how much follows from the sizes. Copies of one text have
+its frequent shingles in common, but not their edits, so this stays selective inside a family of any size.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ PERCENT = 90
 SPARE = 2  # segments beyond k + 1
 CLASS_RATIO = 1.4  # from one size class to the next
 LARGEST = 1 << 40  # sets larger than this would need more size classes
-STARS = 2  # rounds of pivots before groups are opened
 CACHE_SIZE = 500_000
 U = np.uint64
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
@@ -155,51 +157,93 @@ def _set_rows(words: int, segments: Segments | None):
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct non-empty set: class (number), first_id (its smallest doc_id), n, h1, h2, tokens, need."""
-    picked = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"), F.first("need").alias("need"))
-    return durable(picked.withColumn("class", F.monotonically_increasing_id()), "classes")
+    """One row per distinct non-empty set: n, h1, h2, class (the number of one of its rows) and first_id (the smallest doc_id)."""
+    picked = rows.where("n > 0").groupBy("n", "h1", "h2")
+    return durable(picked.agg(F.min("class").alias("class"), F.min("doc_id").alias("first_id")), "classes")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("in_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("in_b"))
-    both = F.size(F.array_intersect("in_a", "in_b"))
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+def _with_pivots(shared: DataFrame) -> DataFrame:
+    """Adds each token's pivot: of its classes the one whose tokens are held most often, all together.
 
+    An edited copy lacks the tokens that its edits fall into, so the pivot of a family is near the text that the others were
+    made from, and links with many of them.
+    """
+    weight = shared.groupBy("class").agg(F.sum("held").alias("weight"))
+    weighed = shared.join(weight, "class")
+    pivots = weighed.groupBy("token").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot"))
+    return durable(shared.select("class", "need", "token").join(pivots, "token"), "pivots")
 
-def _with_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Token rows with the group of their class; a class without links is a group of its own."""
-    named = groups.withColumnRenamed("node", "class")
-    return shared.join(named, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
 
+def _near(both, n, m, percent: int):
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
 
-def _open_tokens(rows: DataFrame) -> DataFrame:
-    """The rows whose token occurs in more than one group."""
-    mixed_tokens = rows.groupBy("token").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).where("_lo < _hi")
-    return rows.join(mixed_tokens.select("token"), "token")
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold."""
+    left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("in_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("in_b"))
+    both = F.size(F.array_intersect("in_a", "in_b"))
+    return pairs.join(left, "a").join(right, "b").where(_near(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
-def _star(rows: DataFrame, order: int) -> DataFrame:
-    """Pairs of each class and the pivot of a token that they share, across groups."""
-    draw = F.struct(F.xxhash64("class", F.lit(order)), "class", "group") if order else F.struct("class", "group")
-    pivots = rows.groupBy("token").agg(F.min(draw).alias("pivot"))
-    met = rows.join(pivots, "token").where(F.col("group") != F.col("pivot.group"))
-    return met.select(F.greatest("class", "pivot.class").alias("a"), F.least("class", "pivot.class").alias("b")).distinct()
 
+def _qualified(shared: DataFrame) -> DataFrame:
+    """(class, pivot) where the class's overlap with the token union of the pivot's group reaches its bound."""
+    members = shared.select("class", "pivot", "need").distinct()
+    rows = members.join(shared.select("class", "token"), "class")
+    union = rows.groupBy("pivot", "token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
+    overlap = rows.join(union.select("pivot", "token"), ["pivot", "token"]).groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    return overlap.where("n >= need AND class <> pivot").select("class", "pivot")
 
-def _matrix(rows: DataFrame) -> DataFrame:
-    """Pairs of classes from opened groups: the overlap of a class with a group's token union reaches the class's bound."""
-    matrix = rows.select("token", F.col("group").alias("other")).distinct()
-    overlap = rows.join(matrix, "token").where("group <> other").groupBy("class", "other").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    opened = overlap.where("n >= need").select("class", "other")
-    members = rows.select("token", F.col("class").alias("member"), F.col("group").alias("other"))
-    pairs = rows.join(members, "token").where(F.col("group") != F.col("other")).join(opened, ["class", "other"])
-    return pairs.select(F.greatest("class", "member").alias("a"), F.least("class", "member").alias("b")).distinct()
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Classes against their pivots: linked, the size d of the difference, and its leading elements.
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, spare: int = SPARE, stars: int = STARS) -> DataFrame:
+    The difference lists what the pivot lacks first, in one order for all members. Two linked sets x and y have
+    d(x) + d(y) - 2 overlap <= k, so that the leading d - need + 1 elements of both must meet; ``first`` counts those that
+    have to meet the leading elements of another unlinked member, all of them may meet a linked one.
+    """
+    left = sets.select("class", "n", F.col("members").alias("mine"))
+    right = sets.select(F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("members").alias("theirs"))
+    met = pairs.join(left, "class").join(right, "pivot")
+    added, gone = F.array_except("mine", "theirs"), F.array_except("theirs", "mine")
+    d, n, m, k = F.col("d"), F.col("n"), F.col("m"), F.col("k")
+    allowed = lambda both: F.floor(both * (100 - percent) / (100 + percent))
+    fewest = lambda other: F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - k) - k) / 2))
+    met = met.select("class", "pivot", "n", "m", F.concat(added, gone).alias("apart")).withColumn("d", F.size("apart"))
+    met = met.withColumn("linked", _near((n + m - d) / 2, n, m, percent)).withColumn("k", allowed(n + F.floor(n * 100 / percent)))
+    unlinked_d = allowed(F.ceil(n * percent / 100) + m) + 1
+    met = met.withColumn("first", F.when(F.col("linked"), 0).otherwise(d - fewest(unlinked_d) + 1).cast("int"))
+    taken = F.when(F.col("linked"), d).otherwise(d - fewest(F.lit(0)) + 1).cast("int")
+    return met.select("class", "pivot", "n", "d", "linked", "first", F.slice("apart", F.lit(1), taken).alias("apart"))
+
+
+def _opened(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of groups with an unlinked member, whose differences from the pivot meet as linked sets' must.
+
+    ``found`` has the components so far; members of one component need no comparison. Two sets that are in several groups
+    together meet in the one of them whose pivot has most links, where their differences are smallest.
+    """
+    named = found.withColumnRenamed("node", "class")
+    links = compared.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("links"))
+    groups = compared.select("class", "pivot").join(links, "pivot").groupBy("class").agg(F.collect_set(F.struct("links", "pivot")).alias("groups"))
+    compared = compared.join(named, "class", "left").withColumn("component", F.coalesce("component", "class")).join(groups, "class")
+    open_groups = compared.where(~F.col("linked")).select("pivot").distinct()
+    rows = compared.join(open_groups, "pivot").select("pivot", "class", "n", "d", "linked", "first", "component", "groups", F.posexplode("apart").alias("at", "element"))
+    leads = F.col("at") < F.col("first")
+    left = rows.where(~F.col("linked")).select("pivot", "element", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), leads.alias("lead_a"), F.col("component").alias("c_a"), F.col("groups").alias("g_a"), F.col("at").alias("at_a"))
+    right = rows.select("pivot", "element", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), "linked", leads.alias("lead_b"), F.col("component").alias("c_b"), F.col("groups").alias("g_b"), F.col("at").alias("at_b"))
+    k = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    sides = F.col("linked") | (F.col("lead_a") & F.col("lead_b") & (F.col("a") < F.col("b")))
+    sizes = (F.abs(F.col("d_a") - F.col("d_b")) <= k) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # the first element that two differences share has the whole overlap behind it in both
+    behind = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
+    sizes = sizes & (2 * behind >= F.col("d_a") + F.col("d_b") - k)
+    here = F.array_max(F.array_intersect("g_a", "g_b"))["pivot"] == F.col("pivot")
+    met = left.join(right, ["pivot", "element"]).where(here & sides & sizes & (F.col("c_a") != F.col("c_b")))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, spare: int = SPARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that links of at least ``percent`` reach.
 
     A null text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows and
@@ -210,9 +254,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = f"doc_id {kind}, n long, h1 long, h2 long"
     segments = Segments(percent, spare)
-    rows = durable(docs.mapInArrow(_set_rows(words, segments), f"{named}, tokens array<long>, need int"), "sets")
+    rows = docs.mapInArrow(_set_rows(words, segments), f"{named}, tokens array<long>, need int")
+    rows = durable(rows.withColumn("class", F.monotonically_increasing_id()), "sets")
     classes = _classes(rows)
-    edges = _class_links(docs, classes, named, percent, words, stars)
+    edges = _class_links(docs, rows, classes, named, percent, words)
     found = connected_components(edges)
 
     in_group = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -223,11 +268,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     return full.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, named: str, percent: int, words: int, stars: int) -> DataFrame:
+def _class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, named: str, percent: int, words: int) -> DataFrame:
     """Links (a, b) between classes that leave the same components as all links do."""
-    token_rows = classes.select("class", "need", F.explode("tokens").alias("token"))
-    many = token_rows.groupBy("token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-    shared = durable(token_rows.join(many.select("token"), "token"), "tokens")
+    one_each = rows.join(classes.select("class"), "class", "left_semi")
+    token_rows = one_each.select("class", "need", F.explode("tokens").alias("token"))
+    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = _with_pivots(durable(token_rows.join(many, "token"), "tokens"))
 
     # the sets of classes that share a token, from the text of one document of each
     wanted = shared.select("class").distinct().join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
@@ -236,24 +282,10 @@ def _class_links(docs: DataFrame, classes: DataFrame, named: str, percent: int,
     again = again.drop("doc_id").dropDuplicates(["n", "h1", "h2"])
     sets = durable(wanted.select("class", "n", "h1", "h2").join(again, ["n", "h1", "h2"]).select("class", "n", "members"), "members")
 
-    groups = None
-    edges = tested = None
-    for order in range(stars + 1):
-        if order == 0:
-            open_rows = shared.withColumn("group", F.col("class"))
-        else:
-            groups = durable(connected_components(edges), "groups")
-            open_rows = durable(_open_tokens(_with_groups(shared, groups)), "open")
-            if open_rows.isEmpty():
-                break
-        pairs = _star(open_rows, order) if order < stars else _matrix(open_rows)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "pairs")
-        linked = durable(_linked(pairs, sets, percent), "linked")
-        edges = linked if edges is None else edges.unionByName(linked)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    return edges
+    compared = durable(_compared(_qualified(shared), sets, percent), "compared")
+    edges = compared.where("linked").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+    pairs = durable(_opened(compared, connected_components(edges), percent), "pairs")
+    return edges.unionByName(_linked(pairs, sets, percent))
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
