@@ -133,3 +133,14 @@ def test_cascade_is_exact(spark):
 def test_rules_keep_columns(spark, odd):
     assert quality.keep_good(odd).columns == odd.columns
     assert quality.apply_rules(odd).where("kept").count() == 0
+
+
+def test_packing_ids_of_cut_words():
+    """Ids that come from the shared cache are those of the whole text, for plain texts, other scripts and special strings."""
+    file = public_tokenizers.path("word_bpe_49k.json")
+    rng, cached = random.Random(3), packing.WordIds(file)
+    plain = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA1, 0x100)]] + ["'ll", "'re", " ", "<|endoftext|>"]
+    other = plain + [chr(c) for c in range(0x250)] + list("ΣςİıŒœ　 ́")
+    for n in range(3_000):
+        text = "".join(rng.choices(other if n % 3 == 0 else plain, k=rng.randint(0, 40)))
+        assert cached.text(text) == cached.encoded(text), repr(text)

@@ -9,10 +9,13 @@ packers hardly adds sequences.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,24 +26,44 @@ from ..runtime import durable
 SEQUENCE = 4_096
 OPEN_BINS = 512
 PART_ITEMS = 50_000  # items of one packer, about
-CACHE_SIZE = 200_000
+CACHE_SIZE = 300_000
 LONG_WORD = 64
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, but not to the tokenizer
 
+# The normalizers and the split of the word tokenizer file, and the same split of lower-case PLAIN texts.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
+PLAIN_SPLIT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
+
 
 class WordIds(dict):
-    """Word between white space -> its token ids as little-endian 32-bit bytes; bounded, filled on demand.
+    """Word -> its token ids as little-endian 32-bit bytes; bounded, filled on demand.
 
-    The tokenizer drops white space before it splits, so no token spans two words.
+    The tokenizer drops white space before it splits, so no token spans two words. Where its file has the split above,
+    plain texts without special strings are cut into pre-tokens, whose variety is far smaller than that of words with their
+    punctuation, and those of a text that are not known yet are encoded in one call. All others are read word by word.
     """
 
     def __init__(self, file: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as source:
+            told = json.load(source)
+        steps = [step["type"] for step in (told["normalizer"] or {}).get("normalizers", ())]
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", ())
+        pattern = splits[0].get("pattern", {}).get("Regex") if splits else None
+        self.splits = steps == NORMALIZERS and pattern == WORD_SPLIT and told["model"].get("end_of_word_suffix") == "</w>"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encoded(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encoded(word)
@@ -50,10 +73,34 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Encodes pre-tokens together; a result that does not fall into one part for each is left to the single look-up."""
+        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= LONG_WORD]
+        if len(self) + len(new) > CACHE_SIZE:
+            self.clear()
+            new = [w for w in dict.fromkeys(words) if len(w) <= LONG_WORD]
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new) and stops[-1] == len(ids):
+                whole, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.update((w, whole[a:b]) for w, a, b in zip(new, at, at[1:]))
+
     def text(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if self.splits and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            words = PLAIN_SPLIT.findall(text.lower())
+            self.learn(words)
+        elif ODD_SPACE.search(text):
             return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        else:
+            words = text.split()
+        return b"".join(map(self.__getitem__, words))
+
+
+@cache
+def word_ids(file: str) -> WordIds:
+    """One for each Python worker, whose tasks share it."""
+    return WordIds(file)
 
 
 def token_pieces(docs: DataFrame, file: str, end_id: int = 1, length: int = SEQUENCE) -> DataFrame:
@@ -65,7 +112,7 @@ def token_pieces(docs: DataFrame, file: str, end_id: int = 1, length: int = SEQU
     size = 4 * length
 
     def cut(batches):
-        words = WordIds(file)
+        words = word_ids(file)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, batch.column(1).to_pylist()):
