@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,13 +30,29 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession):
+    """Queries planned inside give back their shuffle files when they end."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """Computes ``df`` once and keeps it as a parquet table on shared storage.
 
     The lineage ends there, so a lost executor costs no recomputation, and later passes read only the columns they need.
+    The shuffle files behind the table are of no more use and go at once.
     """
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
