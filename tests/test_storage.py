@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_numbers import two_sample
+from twinlens.functions.values import to_number
 from twinlens.plans.analysis import AnalysisOptions, analyse_stage, analysis_tables, report_stage, run_all, run_analysis
 from twinlens.runtime import durable, fresh_folder, shared_folder
 from twinlens.sources import tables
@@ -25,6 +27,20 @@ def test_csv_in_both_encodings(spark, tmp_path):
     assert typed.dtypes == [("id", "int"), ("score", "string")]
 
 
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_bytes(b'id,note,size\n1,"two\nlines",1\n2,"a ""word""",2f\n3,plain,3\n')
+    rows = tables.read_csv(spark, str(path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines", "1"), (2, 'a "word"', "2f"), (3, "plain", "3")]
+
+
+def test_numbers_have_no_type_suffix(spark):
+    told = spark.createDataFrame([("1d",), ("2F ",), ("3.",), (" 4e1",), ("-Infinity",), ("inf",), ("x",), (None,)], "v string")
+    found = [r[0] for r in told.select(to_number(told["v"])).collect()]
+    assert found == [None, None, 3.0, 40.0, float("-inf"), float("inf"), None, None]
+    assert [r[0] for r in spark.range(2).select(to_number(F.col("id"))).collect()] == [0.0, 1.0]
+
+
 def test_result_tables_are_replaced(spark, store):
     chosen = spark.createDataFrame([(0, "var_a", 1.25), (2, "var_c", 0.85)], tables.RESULT_TABLES["analysis_variable_selection"])
     for rows, n in ((chosen, 2), (chosen.limit(1), 1)):

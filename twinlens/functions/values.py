@@ -6,8 +6,14 @@ from pyspark.sql import Column, functions as F
 
 
 def to_number(column: Column) -> Column:
-    """DOUBLE value of a column; text that is no number, and NaN, become NULL."""
-    return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
+    """DOUBLE value of a column; text that is no number, and NaN, become NULL.
+
+    A cast also takes the type suffixes of program text (``1d``, ``2f``), which are no part of a number here. The type is
+    known when the query is planned, so the test of the text costs other columns nothing.
+    """
+    none = F.lit(None).cast("double")
+    suffixed = (F.typeof(column) == "string") & column.cast("string").rlike(r"[0-9.][dDfF]\s*$")
+    return F.when(suffixed, none).otherwise(F.nanvl(column.try_cast("double"), none))
 
 
 def code(column: Column) -> Column:

@@ -29,20 +29,23 @@ FEATURE_TABLE = "dataset_features_preprocessed"
 METADATA_TABLE = "dataset_metadata"
 
 
-def _malformed(spark: SparkSession, path: str) -> bool:
-    """Whether a text file holds bytes that are no UTF-8."""
-    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+def _traits(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a text file holds bytes that are no UTF-8, and whether a line has an odd number of quotes; one scan."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    some = lambda test: F.coalesce(F.max(test), F.lit(False))
+    return tuple(spark.read.text(path).agg(some(~F.is_valid_utf8("value")).alias("bytes"), some(quotes % 2 == 1).alias("breaks")).first())
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None) -> DataFrame:
     """CSV with a header. Missing-value words become NULL, then types are taken from the schema or inferred.
 
     Without an encoding the file is read as UTF-8, or as latin-1 if it is no valid UTF-8. Inference runs on the
-    cleaned columns: a column whose values all read as numbers is BIGINT or DOUBLE.
+    cleaned columns: a column whose values all read as numbers is BIGINT or DOUBLE. Only where a line has an odd number
+    of quotes, which a line break inside quotes leaves, is each file read by one task; all others are split.
     """
-    if encoding is None:
-        encoding = "ISO-8859-1" if _malformed(spark, path) else "UTF-8"
-    raw = spark.read.csv(path, header=True, encoding=encoding, multiLine=False, inferSchema=False, escape='"')
+    malformed, breaks = _traits(spark, path)
+    encoding = encoding or ("ISO-8859-1" if malformed else "UTF-8")
+    raw = spark.read.csv(path, header=True, encoding=encoding, multiLine=breaks, inferSchema=False, escape='"')
     clean = raw.select(*[F.when(~F.trim(quoted(c)).isin(MISSING_WORDS), quoted(c)).alias(c) for c in raw.columns])
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
