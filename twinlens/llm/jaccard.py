@@ -2,12 +2,14 @@
 
 A document's set holds its distinct word shingles. Equal sets form classes. For two sets of sizes p and q the threshold
 bounds their symmetric difference by k = (p + q)(1 - t)/(1 + t); with the shingle universe cut into more than k segments, some
-segments hold the same shingles in both. The tokens of the matrix are such segment contents: sets that link share at least
-``SPARE`` + 1 of them, whatever shingles the corpus has in common, so frequent passages make no frequent tokens.
-
-A group holds the classes that share a token with its pivot. The matrix has the union of its members' tokens, those that two
-members have; a class whose overlap with it is below the class's bound links with nothing in the group and is left
-out. The others are compared with the pivot. A group in which all link with the pivot is settled; only groups with a member
+segments hold the same shingles in both. The tokens of the matrix are such segment contents. There are a quarter more segments
+than k, so sets that link share at least that many of them, whatever shingles the corpus has in common, and a passage that
+two other sets share makes too few equal segments.
+
+A set whose bound is ``need`` shared tokens can leave out its ``need`` - 1 most frequent ones where it looks for partners, in
+one order for all sets; its other tokens lead it to groups. A group holds the classes that are led there by a token of its
+pivot. The matrix has the union of its members' tokens, those that two members have; a class whose overlap with it is below
+the class's bound links with nothing in the group and is left out. The others are compared with the pivot. A group in which all link with the pivot is settled; only groups with a member
 that does not are opened. There members are compared by what sets them apart from the pivot: if one of two linked sets is
 not linked with the pivot, their differences from it overlap, and by how much follows from the sizes. Copies of one text have
 its frequent shingles in common, but not their edits, so this stays selective inside a family of any size.
@@ -27,7 +29,8 @@ from .components import connected_components
 
 WORDS = 3
 PERCENT = 90
-SPARE = 2  # segments beyond k + 1
+SPARE = 2  # segments beyond k + 1, at least
+SPARE_SHARE = 0.25  # of k, where that is more
 CLASS_RATIO = 1.4  # from one size class to the next
 LARGEST = 1 << 40  # sets larger than this would need more size classes
 CACHE_SIZE = 500_000
@@ -72,7 +75,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> n
 
 
 class Segments:
-    """How sets of each size are cut into segments, so that linked sets share at least ``spare`` + 1 segments."""
+    """How sets of each size are cut into segments, so that linked sets share at least ``spare`` + 1 segments, or a share of k."""
 
     def __init__(self, percent: int = PERCENT, spare: int = SPARE):
         self.percent, self.spare = percent, spare
@@ -88,39 +91,42 @@ class Segments:
         """The largest symmetric difference of linked sets with ``both`` elements together."""
         return both * (100 - self.percent) // (100 + self.percent)
 
-    def keys(self, size: int) -> list[tuple[int, int]]:
-        """(class, number of segments) under which a set of this size meets its partners: its own, or the class below too."""
+    def keys(self, size: int) -> list[tuple[int, int, int]]:
+        """(class, number of segments, how many of them are spare) under which a set of this size meets its partners: its own, or the class below too."""
         own = bisect_right(self.bounds, size) - 1
         if own < 0:
             return []
-        found = [(own, self._count(own))]
+        found = [(own, *self._counts(own))]
         if own and size <= (self.bounds[own] - 1) * 100 // self.percent:
-            found.append((own - 1, self._count(own - 1)))
+            found.append((own - 1, *self._counts(own - 1)))
         return found
 
-    def _count(self, key: int) -> int:
+    def _counts(self, key: int) -> tuple[int, int]:
         largest = self.bounds[key + 1] - 1
-        return self._difference(largest + largest * 100 // self.percent) + 1 + self.spare
+        most = self._difference(largest + largest * 100 // self.percent)
+        spare = max(self.spare, int(most * SPARE_SHARE))
+        return most + 1 + spare, spare
 
-    def tokens(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
-        """The matrix tokens of a set, and how many of them a linked set shares at least.
+    def tokens(self, shingles: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+        """The matrix tokens of a set under each key, and how many of them a linked set of that key shares at least.
 
         Segments are ranges of the hash; a token hashes a segment's number and content. Empty segments are equal to
         each other without telling anything: a set with few of them leaves them out and lowers its bound, a set with more
         gets one token that says so.
         """
-        found, need = [], self.spare + 1
-        for key, count in self.keys(len(shingles)):
+        found, needs = [], []
+        for key, count, spare in self.keys(len(shingles)):
             number = ((shingles >> U(32)) * U(count)) >> U(32)
             starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             empty = count - len(starts)
-            need = min(need, max(1, self.spare + 1 - empty))
             with np.errstate(over="ignore"):
                 content = np.add.reduceat(mixed(shingles ^ FACTORS[2]), starts)
-                found.append(mixed(content + mixed(number[starts] * U(64) + U(key + 1))))
-                if empty > self.spare:
-                    found.append(mixed(np.array([key + 1], U) * FACTORS[1]))
-        return (np.concatenate(found) if found else np.empty(0, U)), need
+                own = mixed(content + mixed(number[starts] * U(1 << 20) + U(key + 1)))
+                if empty > spare:
+                    own = np.append(own, mixed(np.array([key + 1], U) * FACTORS[1]))
+            found.append(own)
+            needs.append(max(1, spare + 1 - empty))
+        return found, needs
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -134,7 +140,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _set_rows(words: int, segments: Segments | None):
-    """mapInArrow function: doc_id, text -> doc_id, n, h1, h2 and tokens, need; or the sets themselves."""
+    """mapInArrow function: doc_id, text -> doc_id, n, h1, h2, tokens, cut and needs of two keys; or the sets themselves."""
 
     def rows(batches):
         hashes = WordHashes()
@@ -147,9 +153,11 @@ def _set_rows(words: int, segments: Segments | None):
                 for shift in (0, 64):
                     columns.append(pa.array(_signed(np.array([(h >> shift) & (2**64 - 1) for h in names], U))))
                 if segments:
-                    tokens = [segments.tokens(s) for s in sets]
-                    columns += [_lists([t for t, _ in tokens]), pa.array([n for _, n in tokens], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "tokens", "need"])
+                    keyed = [segments.tokens(s) for s in sets]
+                    columns.append(_lists([np.concatenate([np.empty(0, U), *t]) for t, _ in keyed]))
+                    columns.append(pa.array([len(t[0]) if t else 0 for t, _ in keyed], pa.int32()))
+                    columns += [pa.array([n[at] if at < len(n) else None for _, n in keyed], pa.int32()) for at in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "tokens", "cut", "need", "need_low"])
                 else:
                     yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["doc_id", "n", "h1", "h2", "members"])
 
@@ -162,16 +170,32 @@ def _classes(rows: DataFrame) -> DataFrame:
     return durable(picked.agg(F.min("class").alias("class"), F.min("doc_id").alias("first_id")), "classes")
 
 
-def _with_pivots(shared: DataFrame) -> DataFrame:
-    """Adds each token's pivot: of its classes the one whose tokens are held most often, all together.
+def _shared_tokens(rows: DataFrame) -> DataFrame:
+    """class, level, need, tokens: what a class has in common with any other under its own key (level false) or the one below.
 
-    An edited copy lacks the tokens that its edits fall into, so the pivot of a family is near the text that the others were
-    made from, and links with many of them.
+    Tokens are (held, token), rarest first. A class with fewer than ``need`` of them has no link under that key.
     """
-    weight = shared.groupBy("class").agg(F.sum("held").alias("weight"))
-    weighed = shared.join(weight, "class")
-    pivots = weighed.groupBy("token").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot"))
-    return durable(shared.select("class", "need", "token").join(pivots, "token"), "pivots")
+    level = F.col("at") >= F.col("cut")
+    needs = F.when(level, F.col("need_low")).otherwise(F.col("need"))
+    token_rows = rows.select("class", "cut", "need", "need_low", F.posexplode("tokens").alias("at", "token"))
+    token_rows = token_rows.select("class", level.alias("level"), needs.alias("need"), "token")
+    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    listed = token_rows.join(many, "token").groupBy("class", "level", "need").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    return durable(listed.where(F.size("tokens") >= F.col("need")), "tokens")
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """class, level, pivot: the groups that a class's tokens lead to, without its ``need`` - 1 most frequent ones.
+
+    A token's pivot is that one of its classes whose tokens are held most often, all together. An edited copy lacks the
+    tokens that its edits fall into, so the pivot of a family is near the text that the others were made from, and links
+    with many of them.
+    """
+    weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, x: total + x["held"])
+    leading = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)
+    leads = shared.select("class", "level", weight.alias("weight"), F.explode(F.transform(leading, lambda x: x["token"])).alias("token"))
+    pivots = leads.groupBy("token").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot"), F.count(F.lit(1)).alias("led")).where("led > 1")
+    return durable(leads.select("class", "level", "token").join(pivots.drop("led"), "token").select("class", "level", "pivot").distinct(), "groups")
 
 
 def _near(both, n, m, percent: int):
@@ -188,11 +212,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _qualified(shared: DataFrame) -> DataFrame:
     """(class, pivot) where the class's overlap with the token union of the pivot's group reaches its bound."""
-    members = shared.select("class", "pivot", "need").distinct()
-    rows = members.join(shared.select("class", "token"), "class")
+    tokens = shared.select("class", "level", "need", F.explode(F.transform("tokens", lambda x: x["token"])).alias("token"))
+    rows = _groups(shared).join(tokens, ["class", "level"])
     union = rows.groupBy("pivot", "token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-    overlap = rows.join(union.select("pivot", "token"), ["pivot", "token"]).groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return overlap.where("n >= need AND class <> pivot").select("class", "pivot")
+    overlap = rows.join(union.select("pivot", "token"), ["pivot", "token"]).groupBy("class", "pivot", "level").agg(F.count(F.lit(1)).alias("both"), F.first("need").alias("need"))
+    return durable(overlap.where("both >= need AND class <> pivot").select("class", "pivot").distinct(), "qualified")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +278,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = f"doc_id {kind}, n long, h1 long, h2 long"
     segments = Segments(percent, spare)
-    rows = docs.mapInArrow(_set_rows(words, segments), f"{named}, tokens array<long>, need int")
+    rows = docs.mapInArrow(_set_rows(words, segments), f"{named}, tokens array<long>, cut int, need int, need_low int")
     rows = durable(rows.withColumn("class", F.monotonically_increasing_id()), "sets")
     classes = _classes(rows)
     edges = _class_links(docs, rows, classes, named, percent, words)
@@ -271,18 +295,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 def _class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, named: str, percent: int, words: int) -> DataFrame:
     """Links (a, b) between classes that leave the same components as all links do."""
     one_each = rows.join(classes.select("class"), "class", "left_semi")
-    token_rows = one_each.select("class", "need", F.explode("tokens").alias("token"))
-    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = _with_pivots(durable(token_rows.join(many, "token"), "tokens"))
+    qualified = _qualified(_shared_tokens(one_each))
 
-    # the sets of classes that share a token, from the text of one document of each
-    wanted = shared.select("class").distinct().join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
+    # the sets of classes in qualifying groups, from the text of one document of each
+    kept = qualified.select("class").unionByName(qualified.select(F.col("pivot").alias("class"))).distinct()
+    wanted = kept.join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
     again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(_set_rows(words, None), f"{named}, members array<long>")
     again = again.drop("doc_id").dropDuplicates(["n", "h1", "h2"])
     sets = durable(wanted.select("class", "n", "h1", "h2").join(again, ["n", "h1", "h2"]).select("class", "n", "members"), "members")
 
-    compared = durable(_compared(_qualified(shared), sets, percent), "compared")
+    compared = durable(_compared(qualified, sets, percent), "compared")
     edges = compared.where("linked").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
     pairs = durable(_opened(compared, connected_components(edges), percent), "pairs")
     return edges.unionByName(_linked(pairs, sets, percent))
