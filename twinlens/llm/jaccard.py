@@ -170,18 +170,20 @@ def _classes(rows: DataFrame) -> DataFrame:
     return durable(picked.agg(F.min("class").alias("class"), F.min("doc_id").alias("first_id")), "classes")
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """class, level, need, tokens: what a class has in common with any other under its own key (level false) or the one below.
+def _shared_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, level, need, tokens: what a class has in common with other rows under its own key (level 0) or the one below.
 
-    Tokens are (held, token), rarest first. A class with fewer than ``need`` of them has no link under that key.
+    Tokens are (held, token), rarest first. A class with fewer than ``need`` of them has no link under that key. Token rows
+    are only a token and a number for row and level; what else is known of a row comes back when few are left.
     """
-    level = F.col("at") >= F.col("cut")
-    needs = F.when(level, F.col("need_low")).otherwise(F.col("need"))
-    token_rows = rows.select("class", "cut", "need", "need_low", F.posexplode("tokens").alias("at", "token"))
-    token_rows = token_rows.select("class", level.alias("level"), needs.alias("need"), "token")
-    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    listed = token_rows.join(many, "token").groupBy("class", "level", "need").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
-    return durable(listed.where(F.size("tokens") >= F.col("need")), "tokens")
+    coded = F.posexplode("tokens").alias("at", "token")
+    token_rows = rows.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
+    many = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    listed = token_rows.join(many, "token").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    listed = listed.select(F.shiftright("code", 1).alias("class"), F.col("code").bitwiseAND(1).alias("level"), "tokens")
+    needs = rows.join(classes.select("class"), "class", "left_semi").select("class", F.col("need").alias("_own"), F.col("need_low").alias("_low"))
+    known = listed.join(needs, "class").withColumn("need", F.when(F.col("level") == 1, F.col("_low")).otherwise(F.col("_own")))
+    return durable(known.where(F.size("tokens") >= F.col("need")).select("class", "level", "need", "tokens"), "tokens")
 
 
 def _groups(shared: DataFrame) -> DataFrame:
@@ -294,8 +296,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
 def _class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, named: str, percent: int, words: int) -> DataFrame:
     """Links (a, b) between classes that leave the same components as all links do."""
-    one_each = rows.join(classes.select("class"), "class", "left_semi")
-    qualified = _qualified(_shared_tokens(one_each))
+    qualified = _qualified(_shared_tokens(rows, classes))
 
     # the sets of classes in qualifying groups, from the text of one document of each
     kept = qualified.select("class").unionByName(qualified.select(F.col("pivot").alias("class"))).distinct()
