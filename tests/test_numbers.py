@@ -357,3 +357,18 @@ def test_heatmap_choice(spark):
     assert shown({40, *range(12)}) == {40, *range(12)}
     assert shown({40, 7}) == {40, 7} | set(range(7)) | set(range(8, 34))
     assert shown(set(range(45))) == {40} | set(range(34))
+
+
+@pytest.mark.parametrize("d", [4, 20])
+def test_pearson_uses_complete_pairs_at_every_width(spark, d):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(300, d)) + rng.normal(size=(300, 1))
+    frame = pd.DataFrame(values, columns=[f"f{k:02d}" for k in range(d)]).mask(rng.random((300, d)) < 0.3)
+    rows = [(n, "X" if n % 2 else "Y", *[None if np.isnan(v) else float(v) for v in r]) for n, r in enumerate(frame.to_numpy())]
+    schema = "id long, label string, " + ", ".join(f"{c} double" for c in frame.columns)
+    sample = TwoSample.of(spark.createDataFrame(rows, schema), key="id")
+    got = {(r[0], r[1]): r[2] for r in relate.absolute_pearson(sample).collect()}
+    expected = frame.corr().abs().to_numpy()
+    assert len(got) == d * (d - 1) // 2
+    for (a, b), score in got.items():
+        assert abs(score - expected[a, b]) < 1e-9

@@ -17,6 +17,7 @@ from .stats import scaled
 
 WIDE_PAIR_COLUMNS = 16
 MATRIX_BYTES_LIMIT = 256 << 20
+CONSTANT = 1e-12  # variance, in units of the variable's own, below which it counts as constant
 
 log = logging.getLogger(__name__)
 
@@ -53,25 +54,63 @@ def gram_sums(sample: TwoSample, by: str | None = None) -> DataFrame:
     return parts.groupBy("group", "i", "j").agg(F.sum("part").alias("part"), F.sum("n").alias("n"))
 
 
+def pair_sums(sample: TwoSample, by: str | None = None) -> DataFrame:
+    """``(group, i, j, n, x, y, xx, yy, xy)`` for i <= j over the rows that have both values.
+
+    Like :func:`gram_sums`, each partition is reduced to d x d matrices before the shuffle; a missing value leaves a row out
+    of its own pairs only.
+    """
+    d = len(sample.features)
+    group = F.col(by).cast("string") if by else F.lit("all")
+    rows = sample.frame.select(group.alias("group"), sample.vector().alias("values"))
+    i, j = np.triu_indices(d)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            values = batch.column("values").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            groups = batch.column("group").to_numpy(zero_copy_only=False)
+            for name in pd.unique(groups):
+                block = values[groups == name]
+                there = ~np.isnan(block)
+                block, mask = np.where(there, block, 0.0), there.astype(float)
+                one, two = block.T @ mask, (block * block).T @ mask
+                sums[name] = sums.get(name, 0.0) + np.stack([mask.T @ mask, one, one.T, two, two.T, block.T @ block])
+        for name, total in sums.items():
+            cells = pa.table({"group": [name] * len(i), "i": i, "j": j} | dict(zip(("n", "x", "y", "xx", "yy", "xy"), total[:, i, j])))
+            yield from cells.to_batches()
+
+    parts = rows.mapInArrow(partial, "group string, i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    totals = [F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]
+    return parts.groupBy("group", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(*totals)
+
+
 def absolute_pearson(sample: TwoSample) -> DataFrame:
     """|Pearson r| of all pairs ``(id_variable_1, id_variable_2, correlation_score)``, i < j.
 
-    A constant variable is related to nothing (0). Few variables are aggregated pair by pair inside one built-in
-    aggregation, many through matrix sums per partition.
+    A pair is judged on the rows that have both values, whatever the number of variables. A variable that is constant
+    there is related to nothing (0). Few variables are aggregated pair by pair inside one built-in aggregation, many
+    through matrix sums per partition.
     """
     names = sample.features
     if len(names) > WIDE_PAIR_COLUMNS:
-        d = len(names)
-        sums = gram_sums(scaled(sample)).where((F.col("i") < F.col("j")) & (F.col("j") < d))
-        score = F.least(F.abs(F.col("part") / F.col("n")), F.lit(1.0))
-        return sums.select(F.col("i").alias("id_variable_1"), F.col("j").alias("id_variable_2"), score.alias("correlation_score"))
+        sums = pair_sums(scaled(sample)).where("i < j")
+        spread = lambda x, xx: F.col(xx) / F.col("n") - (F.col(x) / F.col("n")) ** 2
+        both = F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") ** 2
+        score = F.least(F.abs(both / F.sqrt(spread("x", "xx") * spread("y", "yy"))), F.lit(1.0))
+        varied = (F.col("n") > 1) & (spread("x", "xx") > CONSTANT) & (spread("y", "yy") > CONSTANT)
+        score = F.when(varied, score)
+        return sums.select(F.col("i").alias("id_variable_1"), F.col("j").alias("id_variable_2"), F.coalesce(score, F.lit(0.0)).alias("correlation_score"))
     value = lambda k: to_number(quoted(names[k]))
     pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
-    aggregates = [F.stddev_pop(value(k)).alias(f"s{k}") for k in range(len(names))]
-    aggregates += [F.covar_pop(value(a), value(b)).alias(f"c{a}_{b}") for a, b in pairs]
-    score = lambda a, b: F.coalesce(
-        F.abs(F.try_divide(F.col(f"c{a}_{b}"), F.col(f"s{a}") * F.col(f"s{b}"))), F.lit(0.0)
-    )
+    beside = lambda a, b: F.stddev_pop(F.when(value(b).isNotNull(), value(a)))  # over the rows that have both
+    aggregates = [
+        c.alias(f"{name}{a}_{b}")
+        for a, b in pairs
+        for name, c in (("c", F.covar_pop(value(a), value(b))), ("s", beside(a, b)), ("t", beside(b, a)))
+    ]
+    ratio = lambda a, b: F.try_divide(F.col(f"c{a}_{b}"), F.col(f"s{a}_{b}") * F.col(f"t{a}_{b}"))
+    score = lambda a, b: F.least(F.coalesce(F.abs(ratio(a, b)), F.lit(0.0)), F.lit(1.0))
     rows = [
         F.struct(F.lit(a).alias("id_variable_1"), F.lit(b).alias("id_variable_2"), score(a, b).alias("correlation_score"))
         for a, b in pairs
@@ -123,11 +162,14 @@ def partial_correlation(
 
     Rows are only touched to sum products per fold. The fold matrices have d x d entries whatever the row count;
     each (fold, penalty) fit is a task of its own, and the grid is narrowed around the best penalty ``refinements``
-    times. Any failure falls back to the absolute Pearson correlation.
+    times. Only a fit that fails in its numbers falls back to the absolute Pearson correlation; matrices too large for
+    the driver are an error.
     """
     d = len(sample.features)
     if d < 2:
         return absolute_pearson(sample)
+    if 2 * folds * d * d * 8 > MATRIX_BYTES_LIMIT:
+        raise OverflowError(f"{d} variables give fold matrices above {MATRIX_BYTES_LIMIT} bytes")
     try:
         return _partial_correlation(sample, folds, alphas, refinements, seed)
     except (np.linalg.LinAlgError, FloatingPointError, ValueError) as problem:
@@ -137,8 +179,6 @@ def partial_correlation(
 
 def _partial_correlation(sample: TwoSample, folds: int, alphas: int, refinements: int, seed: int) -> DataFrame:
     spark, d = sample.frame.sparkSession, len(sample.features)
-    if 2 * folds * d * d * 8 > MATRIX_BYTES_LIMIT:
-        raise ValueError(f"{d} variables give fold matrices above {MATRIX_BYTES_LIMIT} bytes")
     standard = scaled(sample)
     folded = standard.with_frame(standard.frame.withColumn("fold", hash_number(quoted(sample.key), seed, folds)))
     sums = {}
