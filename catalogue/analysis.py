@@ -160,7 +160,7 @@ def full_analysis(spark, sf):
 
 @query("full_analysis_mmd")
 def full_analysis_mmd(spark, sf):
-    """The default call: MMD anchors, sparse partial correlation, capped scopes; returns the exemplars."""
+    """The default call: MMD anchors, sparse partial correlation, all rows; returns the exemplars."""
     options = AnalysisOptions()
     result = run_analysis(vectors(spark, sf), options, edge_cut=0.01, augment=0.001)
     return result.exemplars

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from test_numbers import two_sample
 from twinlens.functions.values import to_number
-from twinlens.plans.analysis import AnalysisOptions, analyse_stage, analysis_tables, report_stage, run_all, run_analysis
+from twinlens.operators import stats
+from twinlens.plans.analysis import AnalysisOptions, analyse_stage, analysis_tables, report_stage, run_all, run_analysis, scoped
+from twinlens.plans.dating import Dating
 from twinlens.runtime import durable, fresh_folder, shared_folder
 from twinlens.sources import tables
 
@@ -128,3 +130,15 @@ def test_default_call(grouped):
     result = run_analysis(grouped, options)
     assert result.p_value is not None and set(result.anchors) & {"f00", "f01", "f02"}
     assert {r["label_class"]: r["count"] for r in result.exemplars.groupBy("label_class").count().collect()} == {"X": 10, "Y": 10}
+
+
+def test_whole_samples_by_default(spark):
+    """Without options every row counts; the cap is for those who ask for it."""
+    draw = np.random.default_rng(13)
+    large = two_sample(spark, draw.normal(size=(620, 2)), draw.normal(size=(510, 2)))
+    sizes = lambda options, scope: stats.label_totals(scoped(large, scope, options).frame, large.label)
+    options = AnalysisOptions()
+    for scope in (options.selection_scope, options.analysis_scope, options.report_scope):
+        assert sizes(options, scope) == {"X": 620, "Y": 510}
+    assert sizes(AnalysisOptions(limit=60), "subset") == {"X": 60, "Y": 60}
+    assert Dating().limit is None
