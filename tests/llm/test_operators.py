@@ -144,3 +144,20 @@ def test_packing_ids_of_cut_words():
     for n in range(3_000):
         text = "".join(rng.choices(other if n % 3 == 0 else plain, k=rng.randint(0, 40)))
         assert cached.text(text) == cached.encoded(text), repr(text)
+
+
+def test_rewrite_keeps_what_it_does_not_change(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    old = [(k, k % 4) for k in range(40)]
+    spark.createDataFrame(old, "doc_id long, shard int").write.partitionBy("shard").parquet(folder)
+    files = lambda k: {p.name for p in (tmp_path / "shards" / f"shard={k}").glob("*.parquet")}
+    before = {k: files(k) for k in range(4)}
+    # all rows of shard 3 go to shard 2
+    placed = [(doc, k, min(k, 2), doc) for doc, k in old]
+    rows = spark.createDataFrame(placed, "doc_id long, old_shard int, shard int, slot long")
+    assert resharding.rewrite(rows.withColumn("shard", F.col("old_shard")), folder) == []
+    assert {k: files(k) for k in range(4)} == before
+    assert resharding.rewrite(rows, folder) == [2, 3]
+    assert files(0) == before[0] and files(1) == before[1] and not files(2) & before[2]
+    assert not (tmp_path / "shards" / "shard=3").exists()
+    assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(folder).collect()) == [(doc, min(k, 2)) for doc, k in old]

@@ -150,10 +150,19 @@ def document_sizes(docs: DataFrame, *more: Column) -> DataFrame:
 def rewrite(rows: DataFrame, folder: str) -> list[int]:
     """Writes the shards whose rows changed as parquet below ``folder``, one directory each, and returns their numbers.
 
-    A shard that neither sent nor received a row keeps its files. ``rows`` has old_shard, shard and slot.
+    A shard that neither sent nor received a row keeps its files, and the directory of one that gave all its rows away is
+    removed once the others stand. ``rows`` has old_shard, shard and slot, and does not read from ``folder``.
     """
     moved = rows.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     numbers = sorted(r.shard for r in moved.collect())  # at most MOST_SHARDS
-    (rows.where(F.col("shard").isin(numbers)).repartition("shard", F.floor(F.col("slot") / SLICE_ROWS))
-     .sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder))
+    if not numbers:
+        return numbers
+    changed = rows.where(F.col("shard").isin(numbers))
+    (changed.repartition("shard", F.floor(F.col("slot") / SLICE_ROWS)).sortWithinPartitions("shard", "slot")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder))
+    filled = {r.shard for r in changed.select("shard").distinct().collect()}
+    context = rows.sparkSession.sparkContext
+    for number in sorted(set(numbers) - filled):
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/shard={number}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return numbers
