@@ -161,3 +161,24 @@ def test_rewrite_keeps_what_it_does_not_change(spark, tmp_path):
     assert files(0) == before[0] and files(1) == before[1] and not files(2) & before[2]
     assert not (tmp_path / "shards" / "shard=3").exists()
     assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(folder).collect()) == [(doc, min(k, 2)) for doc, k in old]
+
+
+@pytest.mark.parametrize("length", [60, 400])
+def test_leaks_are_found_at_the_edits_allowed(length):
+    """Long items too, for which no affordable number of walks reaches the target recall."""
+    rng = random.Random(length)
+    items = [(k, " ".join(f"w{rng.randrange(2000)}" for _ in range(length))) for k in range(40)]
+    search = decontaminate.Items(items)
+    texts = []
+    for _, text in items:
+        words = text.split()
+        for at in rng.sample(range(length), length // 5):
+            words[at] = f"w{rng.randrange(2000)}"
+        texts.append(" ".join(["before"] * 20 + words + ["after"] * 20))
+    assert sum(any(m[0] == k for m in rows) for k, rows in enumerate(search.matches(texts))) >= 39
+
+
+def test_short_items_are_found_as_they_stand():
+    items = [("one", "Zanzibar"), ("three", "so it goes"), ("seven", "a b c d e f g"), ("none", " ?! "), ("again", "So it goes!")]
+    found = decontaminate.Items(items).matches(["x so it goes so it goes", "so it", "goes", None, "A b, c d e f g; zanzibar", "a b c d e f h"])
+    assert found == [[("three", 0, 1, 3), ("again", 0, 1, 3)], [], [], [], [("one", 0, 7, 7), ("seven", 0, 0, 6)], []]

@@ -2,8 +2,10 @@
 
 Texts and benchmark items are sequences of words. The CGK random walk maps a window to a longer string so that a small edit
 distance becomes a small Hamming distance; sampled positions of that string are the LSH key. Every window of an item's
-size class whose key equals an item's is a candidate, over as many independent walks as the target recall asks for.
-Candidates are verified by the exact edit distance between the item and the best-fitting stretch of the text.
+size class whose key equals an item's is a candidate, over as many independent walks as the target recall asks for at
+the full share of edits. Where ``MOST_WALKS`` do not reach it, as with long items, all windows that pass the filters below
+are candidates. Candidates are verified by the exact edit distance between the item and the best-fitting stretch of the
+text. Items under ``LEAST_WORDS`` words are searched for as they stand, word by word.
 
 Two filters that lose nothing pass windows over before they are embedded. A word outside the benchmark's vocabulary is an
 edit, so a window may hold only as many as edits are allowed. And of e + 1 disjoint chunks of an item at least one survives
@@ -23,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 EDIT_SHARE = 0.2  # word edits allowed, by item length
-LEAST_WORDS = 8  # shorter items are in ordinary use and tell nothing
-DESIGN_SHARE = 0.15  # edit rate that the target recall is meant for
-TARGET_RECALL = 0.99
-TRIES, TRIAL_WALKS = 256, 12  # edited items that the number of walks is set by
+LEAST_WORDS = 8  # shorter items are found without edits only
+TARGET_RECALL = 0.99  # of items with the most edits allowed
+TRIES, TRIAL_WALKS = 256, 12  # edited items that the number of walks is set by, and walks of the first look
 SAMPLED = 4  # positions of the embedding in one key
-MOST_WALKS = 96
+MOST_WALKS = 96  # where these are too few, every window is verified
 BLOCK_BYTES = 4 << 20  # benchmark text that is searched for at once
 WINDOW_RATIO = 1.25
 RUN_WORDS = 1 << 21  # words of the texts that are searched at once
@@ -52,7 +53,7 @@ class Walk(NamedTuple):
 
 class SizeClass(NamedTuple):
     window: int
-    walks: list[Walk]
+    walks: list[Walk]  # none where every window is verified
     keys: list[np.ndarray]  # for each walk the items' keys, sorted
     owners: list[np.ndarray]  # and their items
 
@@ -111,7 +112,7 @@ class Items:
 
     def __init__(self, rows: list[tuple], recall: float = TARGET_RECALL, seed: int = 7):
         texts = [(name, words_of(text)) for name, text in rows]
-        texts = [(name, words) for name, words in texts if len(words) >= LEAST_WORDS]
+        texts = [(name, words) for name, words in texts if words]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words in texts for w in words}))}
         self.names = [name for name, _ in texts]
         self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in texts]
@@ -121,14 +122,22 @@ class Items:
         rng = random.Random(seed)
         by_window: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
-            by_window.setdefault(_window(len(words)), []).append(k)
+            if len(words) >= LEAST_WORDS:
+                by_window.setdefault(_window(len(words)), []).append(k)
         self.classes = [self._size_class(w, members, recall, rng) for w, members in sorted(by_window.items())]
+        self.exact_windows = np.array([c.window for c in self.classes if not c.walks], np.int64)
+        self.short: dict[int, dict[tuple, list[int]]] = {}  # length -> words -> items
+        for k, words in enumerate(self.words):
+            if len(words) < LEAST_WORDS:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words.tolist()), []).append(k)
         self._seeds()
 
     def _seeds(self) -> None:
         """(hash, item, place) of the first words of each item's e + 1 chunks, sorted by hash."""
         rows = []
         for k, (words, edits) in enumerate(zip(self.words, self.edits)):
+            if len(words) < LEAST_WORDS:
+                continue
             hashes, chunk = seed_hashes(words), len(words) // (edits + 1)
             rows += [(int(hashes[c * chunk]), k, c * chunk) for c in range(edits + 1)]
         rows.sort()
@@ -142,16 +151,8 @@ class Items:
 
     def _size_class(self, window: int, members: list[int], recall: float, rng: random.Random) -> SizeClass:
         size = len(self.vocabulary)
-        # how often one walk finds an item with edits at the design rate, tried on the items themselves
         own = [self.words[k] for k in members]
-        tries = own[:TRIES] * max(1, TRIES // len(own[:TRIES]))
-        found = 0.0
-        for _ in range(TRIAL_WALKS):
-            walk = _walk(rng, size, window)
-            copies = [_edited(words, max(1, round(DESIGN_SHARE * len(words))), size, rng) for words in tries]
-            found += np.mean(_item_keys(tries, window, walk) == _item_keys(copies, window, walk)) / TRIAL_WALKS
-        share = min(0.99, max(0.02, found))
-        walks = [_walk(rng, size, window) for _ in range(min(MOST_WALKS, math.ceil(math.log(1 - recall) / math.log(1 - share))))]
+        walks = self._walks(own, window, recall, rng)
         keys, owners = [], []
         for walk in walks:
             found_keys = _item_keys(own, window, walk)
@@ -160,11 +161,28 @@ class Items:
             owners.append(np.array(members)[order])
         return SizeClass(window, walks, keys, owners)
 
+    def _walks(self, own: list[np.ndarray], window: int, recall: float, rng: random.Random) -> list[Walk]:
+        """Walks that together find the target share of edited copies of the items; none if ``MOST_WALKS`` do not."""
+        size = len(self.vocabulary)
+        tries = own[:TRIES] * max(1, TRIES // len(own[:TRIES]))
+        copies = [_edited(words, max(1, int(EDIT_SHARE * len(words) + 1e-9)), size, rng) for words in tries]
+        walks, met, hits = [], np.zeros(len(tries), bool), 0.0
+        while len(walks) < MOST_WALKS:
+            walks.append(_walk(rng, size, window))
+            same = _item_keys(tries, window, walks[-1]) == _item_keys(copies, window, walks[-1])
+            met, hits = met | same, hits + np.mean(same)
+            if len(walks) >= TRIAL_WALKS:
+                if np.mean(met) >= recall:
+                    return walks
+                if 1 - (1 - hits / len(walks)) ** MOST_WALKS < recall:  # not even if all copies were as easy to find
+                    break
+        return []
+
     def windows(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window size, start) of the windows to embed; texts stand between ``bounds`` in ``words``."""
-        none = np.empty(0, np.int64)
-        if len(words) < SEED_WORDS:
-            return none, none
+        """(window size, start) of the windows to embed, and (item, start) of those to verify without it; texts stand
+        between ``bounds`` in ``words``."""
+        if len(words) < SEED_WORDS or not len(self.seed_hash):
+            return np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)
         hashes = seed_hashes(words)
         at = np.flatnonzero(self.seed_table[hashes & np.uint64((1 << TABLE_BITS) - 1)])
         left, right = (np.searchsorted(self.seed_hash, hashes[at], side) for side in ("left", "right"))
@@ -181,13 +199,14 @@ class Items:
         end = np.minimum(start + size, bounds[text + 1])
         outside = np.concatenate([[0], np.cumsum(words == 0)])
         good = (start < end) & (outside[end] - outside[np.minimum(start, end)] <= self.item_edits[item])
-        pairs = np.unique(np.stack([size[good], start[good]]), axis=1)
-        return pairs[0], pairs[1]
+        item, size, start = item[good], size[good], start[good]
+        whole = np.isin(size, self.exact_windows)
+        return np.unique(np.stack([size[~whole], start[~whole]]), axis=1), np.unique(np.stack([item[whole], start[whole]]), axis=1)
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) of windows that share a key with an item."""
-        found: set[tuple[int, int]] = set()
-        sizes, starts = self.windows(words, bounds)
+        """(item, start) of windows that share a key with an item, and of all windows of items that keys do not find well."""
+        (sizes, starts), whole = self.windows(words, bounds)
+        found: set[tuple[int, int]] = set(self._spaced(whole, bounds))
         for size in self.classes:
             mine = starts[sizes == size.window]
             if not len(mine):
@@ -200,6 +219,29 @@ class Items:
                     found.update((int(k), int(mine[hit])) for k in owners[left[hit] : right[hit]])
         return found
 
+    def _spaced(self, pairs: np.ndarray, bounds: np.ndarray):
+        """Of (item, start), sorted, those that matter: a verified region has ``edits`` words to spare before its start and
+        as many behind it, so of starts in one text that are at most ``edits`` apart the first stands for all."""
+        last = (-1, -1, -1)
+        for k, start, text in zip(*pairs.tolist(), (np.searchsorted(bounds, pairs[1], "right") - 1).tolist()):
+            if (k, text) != last[:2] or start - last[2] > self.edits[k]:
+                last = (k, text, start)
+                yield k, start
+
+    def _short_matches(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, first word) of every place where an item under ``LEAST_WORDS`` words stands."""
+        found = []
+        for length, items in self.short.items():
+            firsts = np.zeros(len(self.vocabulary) + 1, bool)
+            firsts[[key[0] for key in items]] = True
+            at = np.flatnonzero(firsts[words[: max(0, len(words) - length + 1)]])
+            text = np.searchsorted(bounds, at, "right") - 1
+            inside = at + length <= bounds[text + 1]
+            at, text = at[inside], text[inside]
+            for row, start, owner in zip(words[at[:, None] + np.arange(length)].tolist(), at.tolist(), text.tolist()):
+                found += [(owner, k, start - int(bounds[owner])) for k in items.get(tuple(row), ())]
+        return found
+
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item, distance, first word, last word) of every item whose best stretch is near enough."""
         found, run, length = [], [], 0
@@ -229,6 +271,9 @@ class Items:
                 _, back = best_stretch(self.backward[k], length, region[end::-1])
                 row = (distance, low - zero + end - back, low - zero + end)
                 found[text][k] = min(found[text].get(k, row), row)
+        for text, k, first in self._short_matches(words, bounds):
+            row = (0, first, first + len(self.words[k]) - 1)
+            found[text][k] = min(found[text].get(k, row), row)
         return [[(self.names[k], *row) for k, row in sorted(rows.items())] for rows in found]
 
 
@@ -280,8 +325,8 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance, first_word, last_word: every benchmark item in every text, with its best stretch.
 
-    A match has at most ``EDIT_SHARE`` word edits. Null, empty and short texts, null items and items under
-    ``LEAST_WORDS`` words match nothing; a row that is repeated gives repeated results; of equal stretches the earliest counts;
+    A match has at most ``EDIT_SHARE`` word edits, and none if the item has under ``LEAST_WORDS`` words. Null and empty
+    texts, null items and items without words match nothing; a row that is repeated gives repeated results; of equal stretches the earliest counts;
     other columns are ignored; an empty table on either side gives no rows.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
