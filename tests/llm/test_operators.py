@@ -182,3 +182,23 @@ def test_short_items_are_found_as_they_stand():
     items = [("one", "Zanzibar"), ("three", "so it goes"), ("seven", "a b c d e f g"), ("none", " ?! "), ("again", "So it goes!")]
     found = decontaminate.Items(items).matches(["x so it goes so it goes", "so it", "goes", None, "A b, c d e f g; zanzibar", "a b c d e f h"])
     assert found == [[("three", 0, 1, 3), ("again", 0, 1, 3)], [], [], [], [("one", 0, 7, 7), ("seven", 0, 0, 6)], []]
+
+
+STORY = "<h1>Title</h1><p>" + "One long sentence of the story. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id=page class='site has-sidebar'><article>{STORY}</article></div>",
+        f"<body><main class='no-sidebar'>{STORY}</main>",
+        f"<body><article class='with-comments'>{STORY}<section class=comments><article class=comment>I agree</article></section></article>",
+        f"<body><div class='widget'><div class='inner'>{STORY}</div></div><div class=footer>end</div>",
+        f"<body><div class=widget><main>{STORY}</main></div><div id=site-footer>end</div>",
+        f"<body><article>{STORY}</article><div id=comments><p>{'I do not agree with any of it. ' * 20}</p></div>",
+        f"<html><head><title>t</title><meta charset=utf-8><body><article>{STORY}</article></body>",
+        f"<head><title>t</title><div>{STORY}</div>",
+    ],
+)
+def test_main_text_is_not_cut_with_boilerplate(page):
+    assert main_text.main_text(page) == " ".join(["Title"] + ["One long sentence of the story."] * 5)

@@ -3,8 +3,8 @@
 Every element gets a density: its characters per tag, adjusted by how much of its text and how many of its tags are
 links. The densest element and its path from the body give the threshold (the least density on the path); of the elements
 at or above it, the one whose children's densities sum highest is the main subtree. Elements that are boilerplate
-by name, role, class or id are cut out before densities are taken, and an article or main element around the chosen
-subtree is taken whole.
+by name, role, class or id are cut out before densities are taken, those by class or id only where they do not hold the
+page's content, and an article or main element around the chosen subtree is taken whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ MARKUP = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<![\w-])(hidden)(?![\w-])")
-NAME_PART = re.compile(r"[a-z0-9]+")
+PART = re.compile(r"[-_]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -53,14 +53,19 @@ BOILERPLATE_NAMES = frozenset(
     " share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: In a class such as has-sidebar the name says what the element has or lacks, not what it is.
+QUALIFIERS = frozenset("has have with without no not non is hide hides show shows".split())
 WHOLE = frozenset(("article", "main"))
+#: Start tags that may stand in a head; any other, and text, ends it.
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta title script style noscript noframes template".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "in_link")
+    __slots__ = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "in_link", "named")
 
-    def __init__(self, tag: str, parent: int, in_link: bool):
+    def __init__(self, tag: str, parent: int, in_link: bool, named: bool = False):
         self.tag, self.parent, self.in_link, self.end = tag, parent, in_link, 0
+        self.named = named  # boilerplate by class or id
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
@@ -70,22 +75,62 @@ class Page(NamedTuple):
     texts: list[tuple[int, str]]  # (node, text); a break between blocks is a space
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    """Does a class or id name boilerplate: as a whole, or as the last word of a compound (site-footer, but not footer-less)."""
+    for token in value.split():
+        parts = PART.split(token)
+        if token in BOILERPLATE_NAMES or parts[-1] in BOILERPLATE_NAMES and QUALIFIERS.isdisjoint(parts):
+            return True
+    return False
+
+
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Is an element boilerplate for certain, and is it by class or id."""
     if tag in BOILERPLATE_TAGS:
-        return True
+        return True, False
+    named = False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     for name, *values, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if hidden or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return True, False
         if name == "role" and value in BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body") and not BOILERPLATE_NAMES.isdisjoint(NAME_PART.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "main") and _named(value):
+            named = True
+    return False, named
+
+
+def _without_named(page: Page) -> Page:
+    """The page without elements that are boilerplate by class or id, unless they hold its content: a main or article element
+    that is not such itself, or most of the text where no main or article stands elsewhere."""
+    nodes, texts = page
+    chars = [0] * (len(nodes) + 1)  # running sum over nodes in page order
+    for node, text in texts:
+        chars[node + 1] += len(" ".join(text.split()))
+    content = [0] * (len(nodes) + 1)
+    for i, node in enumerate(nodes):
+        chars[i + 1] += chars[i]
+        content[i + 1] = content[i] + (node.tag in WHOLE and not node.named)
+    number, kept, i = [-1] * len(nodes), [], 0
+    while i < len(nodes):
+        node = nodes[i]
+        most = not content[-1] and 2 * (chars[node.end] - chars[i]) > chars[-1]
+        if node.named and content[node.end] == content[i] and not most:
+            i = node.end
+            continue
+        number[i] = len(kept)
+        kept.append(node)
+        i += 1
+    upto = [0]
+    for n in number:
+        upto.append(upto[-1] + (n >= 0))
+    for node in kept:
+        node.parent, node.end = number[node.parent] if node.parent >= 0 else -1, upto[node.end]
+    return Page(kept, [(number[node], text) for node, text in texts if number[node] >= 0])
 
 
 def parse(source: str) -> Page:
@@ -105,6 +150,8 @@ def parse(source: str) -> Page:
     while at < end:
         found = searched(source, at)
         stop = found.start() if found else end
+        if stack[-1][0] == "head" and source[at:stop].strip():
+            close(len(stack) - 1)
         if stop > at and stack[-1][1] >= 0:
             texts.append((stack[-1][1], html.unescape(source[at:stop])))
         if not found:
@@ -124,6 +171,11 @@ def parse(source: str) -> Page:
                 if tag in INLINE and stack[depth][0] not in INLINE:
                     break
             continue
+        if tag == "body" or stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            for depth in range(1, len(stack)):
+                if stack[depth][0] == "head":
+                    close(depth)
+                    break
         if tag in CLOSES_P:
             depth = len(stack) - 1
             while stack[depth][0] in INLINE:
@@ -146,9 +198,10 @@ def parse(source: str) -> Page:
                 nodes[top].tags += 1
             continue
         node = -1
-        if top >= 0 and not _boilerplate(tag, attributes):
+        cut, named = _boilerplate(tag, attributes) if top >= 0 else (True, False)
+        if not cut:
             node = len(nodes)
-            nodes.append(Node(tag, top, tag == "a" or nodes[top].in_link))
+            nodes.append(Node(tag, top, tag == "a" or nodes[top].in_link, named))
         if tag in RAW:
             close_tag = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             if node >= 0:
@@ -161,7 +214,8 @@ def parse(source: str) -> Page:
             nodes[node].end = len(nodes)
     close(1)
     nodes[0].end = len(nodes)
-    return Page(nodes, texts)
+    page = Page(nodes, texts)
+    return _without_named(page) if any(node.named for node in nodes) else page
 
 
 def _measure(page: Page) -> int:
