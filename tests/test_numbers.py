@@ -372,3 +372,38 @@ def test_pearson_uses_complete_pairs_at_every_width(spark, d):
     assert len(got) == d * (d - 1) // 2
     for (a, b), score in got.items():
         assert abs(score - expected[a, b]) < 1e-9
+
+
+@pytest.mark.parametrize("block_rows", [16, 512])
+def test_training_and_p_value_use_all_pairs(spark, block_rows):
+    """Same numbers from one block and from many, with labels of unequal size."""
+    draw = np.random.default_rng(12)
+    x, y = draw.normal(size=(60, 3)), draw.normal(0.5, 1.3, size=(21, 3))
+    packed = mmd.packed_blocks(two_sample(spark, x, y), block_rows=block_rows)
+    assert packed.frame.count() == -(-60 // block_rows)
+    spread, weights = np.array([1.0, 2.0, 0.7]), np.array([0.4, 0.6, 0.3])
+    scales = weights / spread
+    xx, yy, xy = rbf(x, x, scales), rbf(y, y, scales), rbf(x, y, scales)
+    variance = 4 * 21 * ((xx.mean(1) - xy.mean(1)).var() / 60 + (yy.mean(1) - xy.mean(0)).var() / 21)
+    steps = [weights] + [weights + s * np.eye(3)[k] * 1e-5 for k in range(3) for s in (1, -1)]
+    found = mmd.whole_power(packed, spread, np.array(steps), [0] * 7, mmd.mask_sizes(packed))
+    assert found[0][0] == pytest.approx(brute_mmd(x, y, scales) / np.sqrt(variance + 1e-8))
+    slopes = [(found[1 + 2 * k][0] - found[2 + 2 * k][0]) / 2e-5 for k in range(3)]
+    np.testing.assert_allclose(found[0][1], slopes, rtol=1e-4, atol=1e-7)
+    values = mmd.permuted_values(packed, scales, 0, 30, 1)
+    assert values[0] == pytest.approx(brute_mmd(x, y, scales)) and len(values) == 31 and abs(values[1:].mean()) < 0.03
+
+
+@pytest.mark.parametrize("d", [4, 16])
+def test_exemplars_with_missing_values_at_every_width(spark, d):
+    draw = np.random.default_rng(14)
+    values = draw.normal(size=(80, d))
+    values[draw.random((80, d)) < 0.2] = np.nan
+    rows = [(n, "X" if n < 40 else "Y", *[None if np.isnan(v) else float(v) for v in r]) for n, r in enumerate(values)]
+    schema = "id long, label string, " + ", ".join(f"f{k:02d} double" for k in range(d))
+    made = TwoSample.of(spark.createDataFrame(rows, schema), key="id")
+    scores = exemplar.prototype_scores(made, "centroid").orderBy("id").select("score").toPandas()["score"].to_numpy()
+    frame = pd.DataFrame(values[:40])
+    inverse = np.linalg.pinv(frame.cov().to_numpy() + 1e-6 * np.eye(d))
+    off = (frame - frame.mean()).fillna(0.0).to_numpy()
+    np.testing.assert_allclose(scores[:40], -np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", off, inverse, off), 0)), atol=1e-6)
