@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, licenses, main_text, packing, quality, resharding, token_counts, toxicity, url_filter
+from . import decontaminate, hard_negatives, jaccard, licenses, main_text, packing, periodic, quality, resharding, secrets, token_counts, toxicity, url_filter
 
 SHARDS = 24
 OLD_SHARDS = 16
@@ -67,6 +67,31 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, counts and checksum of the base spans, all spans."""
+    found = secrets.find_secrets(_table(spark, sf, "documents"))
+    counts = [secrets.span_count(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS]
+    checksum = F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, checksum, secrets.span_text(secrets.merged_spans(F.col("base"), F.col("guessed"))).alias("spans"), F.size("guessed").cast("long").alias("n_guess"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of ids divisible by 7 carry the next label of ten."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, the number of runs, the strongest of them, checksums of all runs and of the collapsed text; a tenth of the texts is looped first."""
+    found = periodic.periodic_runs(periodic.looped(_table(spark, sf, "documents")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def _quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -158,11 +183,26 @@ FROM u LEFT JOIN fit USING (r)
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM v),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS b, b.vec_id AS other_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM t a JOIN t b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT a, anchor_id, b, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) <= 5),
+n AS (SELECT p.a, p.b, p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON p.a = s.a AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY a, b ORDER BY negative_score DESC, negative_id))::INTEGER AS rank, negative_id, positive_score, negative_score FROM n
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY negative_score DESC, negative_id) <= 10
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_rules, op3_license_scan, op4_toxicity, op5_main_text,
         op6_ngram_jaccard, op7_best_fit_packing, op8_resharding, op9_decontamination, op10_url_filter,
+        op11_secret_scan, op12_hard_negatives, op13_periodic_runs,
     )
 }
 
@@ -171,4 +211,5 @@ ORACLE = {
     "op3_license_scan": _license_sql(),
     "op6_ngram_jaccard": JACCARD_SQL,
     "op10_url_filter": _url_sql(),
+    "op12_hard_negatives": NEGATIVES_SQL,
 }
