@@ -53,7 +53,19 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_folder(df.sparkSession, name)
     with _shuffles_released(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`durable` returned and that nothing reads any more.
+
+    What was made from them must be stored itself by then: a plan that still reads them fails.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
