@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import durable
+from ..runtime import discard, durable
 
 
 def _largest(edges: DataFrame, node: str) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.withColumnRenamed("hi", "node").join(down, "node")
         small = small.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi <> lo")
         small = small.unionByName(down.select(F.col("node").alias("hi"), F.col("least").alias("lo"))).distinct()
-        links = durable(small, "small")
+        last, links = links, durable(small, "small")
+        discard(last, large)
         mark = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 31)))).first()
         if tuple(mark) == before:
             break

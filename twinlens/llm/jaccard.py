@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import durable
+from ..runtime import discard, durable
 from .components import connected_components
 
 WORDS = 3
@@ -140,7 +140,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _set_rows(words: int, segments: Segments | None):
-    """mapInArrow function: doc_id, text -> doc_id, n, h1, h2, tokens, cut and needs of two keys; or the sets themselves."""
+    """mapInArrow function: doc_id, text, class -> doc_id, class, n, h1, h2, tokens, cut and needs of two keys; or the sets themselves."""
 
     def rows(batches):
         hashes = WordHashes()
@@ -149,7 +149,7 @@ def _set_rows(words: int, segments: Segments | None):
             for at in range(0, len(ids), 256):
                 sets = [shingle_set(t, hashes, words) for t in texts.slice(at, 256).to_pylist()]
                 names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
-                columns = [ids.slice(at, 256), pa.array(map(len, sets), pa.int64())]
+                columns = [ids.slice(at, 256), batch.column(2).slice(at, 256), pa.array(map(len, sets), pa.int64())]
                 for shift in (0, 64):
                     columns.append(pa.array(_signed(np.array([(h >> shift) & (2**64 - 1) for h in names], U))))
                 if segments:
@@ -157,9 +157,9 @@ def _set_rows(words: int, segments: Segments | None):
                     columns.append(_lists([np.concatenate([np.empty(0, U), *t]) for t, _ in keyed]))
                     columns.append(pa.array([len(t[0]) if t else 0 for t, _ in keyed], pa.int32()))
                     columns += [pa.array([n[at] if at < len(n) else None for _, n in keyed], pa.int32()) for at in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "tokens", "cut", "need", "need_low"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "h1", "h2", "tokens", "cut", "need", "need_low"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["doc_id", "n", "h1", "h2", "members"])
+                    yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["doc_id", "class", "n", "h1", "h2", "members"])
 
     return rows
 
@@ -195,7 +195,9 @@ def _groups(shared: DataFrame) -> DataFrame:
     """
     weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, x: total + x["held"])
     leading = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)
-    leads = shared.select("class", "level", weight.alias("weight"), F.explode(F.transform(leading, lambda x: x["token"])).alias("token"))
+    # the weight is taken before tokens become rows, or it would be summed up again for each of them
+    held = shared.select("class", "level", weight.alias("weight"), F.transform(leading, lambda x: x["token"]).alias("lead"))
+    leads = held.select("class", "level", "weight", F.explode("lead").alias("token"))
     pivots = leads.groupBy("token").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot"), F.count(F.lit(1)).alias("led")).where("led > 1")
     return durable(leads.select("class", "level", "token").join(pivots.drop("led"), "token").select("class", "level", "pivot").distinct(), "groups")
 
@@ -215,10 +217,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _qualified(shared: DataFrame) -> DataFrame:
     """(class, pivot) where the class's overlap with the token union of the pivot's group reaches its bound."""
     tokens = shared.select("class", "level", "need", F.explode(F.transform("tokens", lambda x: x["token"])).alias("token"))
-    rows = _groups(shared).join(tokens, ["class", "level"])
+    groups = _groups(shared)
+    rows = groups.join(tokens, ["class", "level"])
     union = rows.groupBy("pivot", "token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
     overlap = rows.join(union.select("pivot", "token"), ["pivot", "token"]).groupBy("class", "pivot", "level").agg(F.count(F.lit(1)).alias("both"), F.first("need").alias("need"))
-    return durable(overlap.where("both >= need AND class <> pivot").select("class", "pivot").distinct(), "qualified")
+    qualified = durable(overlap.where("both >= need AND class <> pivot").select("class", "pivot").distinct(), "qualified")
+    discard(groups)
+    return qualified
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,27 +251,24 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _opened(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of groups with an unlinked member, whose differences from the pivot meet as linked sets' must.
 
-    ``found`` has the components so far; members of one component need no comparison. Two sets that are in several groups
-    together meet in the one of them whose pivot has most links, where their differences are smallest.
+    ``found`` has the components so far; members of one component need no comparison. Differences meet under one number for
+    pivot and element, so that a large group is dealt out by its elements; their rows carry numbers only.
     """
     named = found.withColumnRenamed("node", "class")
-    links = compared.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("links"))
-    groups = compared.select("class", "pivot").join(links, "pivot").groupBy("class").agg(F.collect_set(F.struct("links", "pivot")).alias("groups"))
-    compared = compared.join(named, "class", "left").withColumn("component", F.coalesce("component", "class")).join(groups, "class")
     open_groups = compared.where(~F.col("linked")).select("pivot").distinct()
-    rows = compared.join(open_groups, "pivot").select("pivot", "class", "n", "d", "linked", "first", "component", "groups", F.posexplode("apart").alias("at", "element"))
-    leads = F.col("at") < F.col("first")
-    left = rows.where(~F.col("linked")).select("pivot", "element", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), leads.alias("lead_a"), F.col("component").alias("c_a"), F.col("groups").alias("g_a"), F.col("at").alias("at_a"))
-    right = rows.select("pivot", "element", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), "linked", leads.alias("lead_b"), F.col("component").alias("c_b"), F.col("groups").alias("g_b"), F.col("at").alias("at_b"))
+    rows = compared.join(open_groups, "pivot").join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = rows.select("pivot", "class", "component", "n", "d", "linked", "first", F.posexplode("apart").alias("at", "element"))
+    rows = rows.select(F.xxhash64("pivot", "element").alias("key"), "class", "component", "n", "d", "linked", (F.col("at") < F.col("first")).alias("lead"), "at")
+    side = lambda df, tag: df.select("key", *[F.col(c).alias(f"{c}_{tag}") for c in ("class", "component", "n", "d", "linked", "lead", "at")])
+    met = side(rows.where(~F.col("linked")), "a").join(side(rows, "b"), "key")
     k = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    sides = F.col("linked") | (F.col("lead_a") & F.col("lead_b") & (F.col("a") < F.col("b")))
+    sides = F.col("linked_b") | (F.col("lead_a") & F.col("lead_b") & (F.col("class_a") < F.col("class_b")))
     sizes = (F.abs(F.col("d_a") - F.col("d_b")) <= k) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     # the first element that two differences share has the whole overlap behind it in both
     behind = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
     sizes = sizes & (2 * behind >= F.col("d_a") + F.col("d_b") - k)
-    here = F.array_max(F.array_intersect("g_a", "g_b"))["pivot"] == F.col("pivot")
-    met = left.join(right, ["pivot", "element"]).where(here & sides & sizes & (F.col("c_a") != F.col("c_b")))
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = met.where(sides & sizes & (F.col("component_a") != F.col("component_b")))
+    return met.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, spare: int = SPARE) -> DataFrame:
@@ -274,49 +276,73 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
     A null text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows and
     ids share a component as their sets do; ids that are null are passed over when the smallest is taken. Other columns
-    are ignored, an empty table gives no rows. Shingles are told apart by 64-bit hashes, sets by 128-bit hashes.
+    are ignored, an empty table gives no rows; texts are read whole. Shingles are told apart by 64-bit hashes, sets by
+    128-bit hashes.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows, classes = _grouped(docs, docs.withColumn("class", F.monotonically_increasing_id()), percent, words, spare)
+    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_set = classes.select("n", "h1", "h2", "component").join(least, "component").drop("component")
+    full = rows.where("n > 0").join(by_set, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _grouped(docs: DataFrame, numbered: DataFrame, percent: int, words: int, spare: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, class, n, h1, h2), ``class`` being a row's number, and their classes with the component of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    named = f"doc_id {kind}, n long, h1 long, h2 long"
-    segments = Segments(percent, spare)
-    rows = docs.mapInArrow(_set_rows(words, segments), f"{named}, tokens array<long>, cut int, need int, need_low int")
-    rows = durable(rows.withColumn("class", F.monotonically_increasing_id()), "sets")
+    named = f"doc_id {kind}, class long, n long, h1 long, h2 long"
+    made = numbered.select("doc_id", "text", "class").mapInArrow(_set_rows(words, Segments(percent, spare)), f"{named}, tokens array<long>, cut int, need int, need_low int")
+    full = durable(made, "sets")
+    rows = durable(full.select("doc_id", "class", "n", "h1", "h2"), "rows")
     classes = _classes(rows)
-    edges = _class_links(docs, rows, classes, named, percent, words)
-    found = connected_components(edges)
-
-    in_group = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = in_group.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = in_group.select("n", "h1", "h2", "component").join(least, "component").drop("component")
-    slim = rows.select("doc_id", "n", "h1", "h2")
-    full = slim.where("n > 0").join(by_set, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    shared = _shared_tokens(full, classes)
+    discard(full)
+    edges = _class_links(docs, shared, classes, named, percent, words)
+    found = connected_components(edges).withColumnRenamed("node", "class")
+    grouped = durable(classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "components")
+    discard(classes, edges)
+    return rows, grouped
 
 
-def _class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, named: str, percent: int, words: int) -> DataFrame:
-    """Links (a, b) between classes that leave the same components as all links do."""
-    qualified = _qualified(_shared_tokens(rows, classes))
+def _class_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, named: str, percent: int, words: int) -> DataFrame:
+    """Links (a, b) between classes that leave the same components as all links do. ``shared`` is used up."""
+    qualified = _qualified(shared)
+    discard(shared)
 
     # the sets of classes in qualifying groups, from the text of one document of each
     kept = qualified.select("class").unionByName(qualified.select(F.col("pivot").alias("class"))).distinct()
     wanted = kept.join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(_set_rows(words, None), f"{named}, members array<long>")
-    again = again.drop("doc_id").dropDuplicates(["n", "h1", "h2"])
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").withColumn("class", F.lit(0).cast("long"))
+    again = texts.mapInArrow(_set_rows(words, None), f"{named}, members array<long>")
+    again = again.drop("doc_id", "class").dropDuplicates(["n", "h1", "h2"])
     sets = durable(wanted.select("class", "n", "h1", "h2").join(again, ["n", "h1", "h2"]).select("class", "n", "members"), "members")
 
     compared = durable(_compared(qualified, sets, percent), "compared")
+    discard(qualified)
     edges = compared.where("linked").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
     pairs = durable(_opened(compared, connected_components(edges), percent), "pairs")
-    return edges.unionByName(_linked(pairs, sets, percent))
+    links = durable(edges.unionByName(_linked(pairs, sets, percent)), "links")
+    discard(sets, compared, pairs)
+    return links
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows of one id stay or go together.
+    """One row of ``docs``, with all columns, of each component: that of the smallest doc_id, the first of those by row number.
 
-    Rows without an id cannot be named and stay.
+    A row without an id gives way to any with one. A null text, or one without words, links with nothing, so its row stays,
+    as do all of several such; exact repeats of other rows go down to one. Whatever stands in no other row stays, also where
+    another row of its id goes. An empty table gives no rows.
     """
-    found = jaccard_components(docs, percent, words)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    mark = "_row"
+    while mark in docs.columns:
+        mark += "_"
+    numbered = durable(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select("doc_id", F.col("text").cast("string").alias("text"), F.col(mark).alias("class"))
+    rows, classes = _grouped(texts.drop("class"), texts, percent, words, SPARE)
+    grouped = rows.where("n > 0").join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("class")))["class"]
+    kept = grouped.groupBy("component").agg(first.alias("_kept"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    gone = durable(grouped.join(kept, "component").where(F.col("class") != F.col("_kept")).select(F.col("class").alias(mark)), "gone")
+    discard(rows, classes)
+    return numbered.join(gone, mark, "left_anti").drop(mark)
