@@ -110,7 +110,8 @@ def _edited(item: np.ndarray, edits: int, vocabulary: int, rng: random.Random) -
 class Items:
     """A block of benchmark items, ready to be searched for. Of a fixed size, so every task gets it."""
 
-    def __init__(self, rows: list[tuple], recall: float = TARGET_RECALL, seed: int = 7):
+    def __init__(self, rows: list[tuple], recall: float = TARGET_RECALL, seed: int = 7, kind: pa.DataType | None = None):
+        self.kind = kind  # of the items' ids, where they go into tables
         texts = [(name, words_of(text)) for name, text in rows]
         texts = [(name, words) for name, words in texts if words]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words in texts for w in words}))}
@@ -133,17 +134,17 @@ class Items:
         self._seeds()
 
     def _seeds(self) -> None:
-        """(hash, item, place) of the first words of each item's e + 1 chunks, sorted by hash."""
-        rows = []
+        """(hash, item, first and last place) of the first words of each item's e + 1 chunks, sorted by hash; equal ones are one seed."""
+        rows: dict[tuple[int, int], list[int]] = {}
         for k, (words, edits) in enumerate(zip(self.words, self.edits)):
             if len(words) < LEAST_WORDS:
                 continue
             hashes, chunk = seed_hashes(words), len(words) // (edits + 1)
-            rows += [(int(hashes[c * chunk]), k, c * chunk) for c in range(edits + 1)]
-        rows.sort()
-        self.seed_hash = np.array([r[0] for r in rows], np.uint64)
-        self.seed_item = np.array([r[1] for r in rows], np.int64)
-        self.seed_place = np.array([r[2] for r in rows], np.int64)
+            for place in range(0, (edits + 1) * chunk, chunk):
+                rows.setdefault((int(hashes[place]), k), []).append(place)
+        seeds = sorted((h, k, places[0], places[-1]) for (h, k), places in rows.items())
+        self.seed_hash = np.array([r[0] for r in seeds], np.uint64)
+        self.seed_item, self.seed_first, self.seed_last = (np.array([r[c] for r in seeds], np.int64) for c in (1, 2, 3))
         self.seed_table = np.zeros(1 << TABLE_BITS, bool)
         self.seed_table[self.seed_hash & np.uint64((1 << TABLE_BITS) - 1)] = True
         self.item_edits = np.array(self.edits, np.int64)
@@ -189,24 +190,25 @@ class Items:
         many = right - left
         rows = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at, item = np.repeat(at, many), self.seed_item[rows]
-        edits = self.item_edits[item]
-        wide = 2 * edits + 1
-        start = np.repeat(at - self.seed_place[rows] - edits, wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-        item, at = np.repeat(item, wide), np.repeat(at, wide)
-        text = np.searchsorted(bounds, at, "right") - 1
-        start = np.maximum(start, bounds[text])  # a first word may be lost, and the text begin later
+        text, edits = np.searchsorted(bounds, at, "right") - 1, self.item_edits[item]
+        # a first word may be lost, and the text begin later
+        low = np.maximum(at - self.seed_last[rows] - edits, bounds[text])
+        high = np.minimum(at - self.seed_first[rows] + edits, bounds[text + 1] - 1)
+        item, start = _places(item, text, low, high)
+        text = np.searchsorted(bounds, start, "right") - 1
         size = self.item_window[item]
         end = np.minimum(start + size, bounds[text + 1])
         outside = np.concatenate([[0], np.cumsum(words == 0)])
         good = (start < end) & (outside[end] - outside[np.minimum(start, end)] <= self.item_edits[item])
         item, size, start = item[good], size[good], start[good]
         whole = np.isin(size, self.exact_windows)
-        return np.unique(np.stack([size[~whole], start[~whole]]), axis=1), np.unique(np.stack([item[whole], start[whole]]), axis=1)
+        return np.unique(np.stack([size[~whole], start[~whole]]), axis=1), np.stack([item[whole], start[whole]])
 
-    def candidates(self, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) of windows that share a key with an item, and of all windows of items that keys do not find well."""
+    def candidates(self, words: np.ndarray, bounds: np.ndarray):
+        """(item, start) of windows that share a key with an item, and of all windows of items that keys do not find well; of
+        windows that one verification serves the first."""
         (sizes, starts), whole = self.windows(words, bounds)
-        found: set[tuple[int, int]] = set(self._spaced(whole, bounds))
+        found = [whole]
         for size in self.classes:
             mine = starts[sizes == size.window]
             if not len(mine):
@@ -215,9 +217,10 @@ class Items:
             for walk, keys, owners in zip(size.walks, size.keys, size.owners):
                 got = walk_keys(words, mine, ends, walk)
                 left, right = np.searchsorted(keys, got), np.searchsorted(keys, got, "right")
-                for hit in np.flatnonzero(right > left):
-                    found.update((int(k), int(mine[hit])) for k in owners[left[hit] : right[hit]])
-        return found
+                many = right - left
+                rows = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                found.append(np.stack([owners[rows], np.repeat(mine, many)]))
+        return self._spaced(np.unique(np.concatenate(found, axis=1), axis=1), bounds)
 
     def _spaced(self, pairs: np.ndarray, bounds: np.ndarray):
         """Of (item, start), sorted, those that matter: a verified region has ``edits`` words to spare before its start and
@@ -258,7 +261,7 @@ class Items:
         found: list[dict[int, tuple]] = [{} for _ in run]
         words = np.concatenate([np.empty(0, np.int64), *run])
         bounds = np.cumsum([0, *map(len, run)])
-        for k, start in sorted(self.candidates(words, bounds)):
+        for k, start in self.candidates(words, bounds):
             text = int(np.searchsorted(bounds, start, "right")) - 1
             zero, edits, length = int(bounds[text]), self.edits[k], len(self.words[k])
             low = max(zero, start - edits)
@@ -277,6 +280,21 @@ class Items:
         return [[(self.names[k], *row) for k, row in sorted(rows.items())] for rows in found]
 
 
+def _places(item: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) for all places from ``low`` to ``high``, those of overlapping stretches of one item and text once."""
+    order = np.lexsort((low, text, item))
+    item, text, low, high = item[order], text[order], low[order], high[order]
+    new = np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])][: len(item)]
+    group = np.cumsum(new) - 1
+    span = int(high.max(initial=0)) + 2
+    reach = np.maximum.accumulate(high + group * span)  # the furthest end so far; a later group is beyond any earlier one
+    first = np.flatnonzero(np.r_[True, (low + group * span)[1:] > reach[:-1] + 1][: len(item)])
+    last = np.r_[first[1:], len(item)][: len(first)] - 1
+    begin, end, owner = low[first], reach[last] - group[last] * span, item[first]
+    many = np.maximum(end - begin + 1, 0)
+    return np.repeat(owner, many), np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
 def _window(length: int) -> int:
     """The largest size class that does not exceed an item's length."""
     window = LEAST_WORDS
@@ -319,15 +337,17 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [Items(sorted(map(tuple, rows.where(part == k).collect()), key=repr)) for k in range(blocks)]
+    tables = [rows.where(part == k).toArrow() for k in range(blocks)]
+    return [Items(sorted(zip(*(c.to_pylist() for c in t.columns)), key=repr), kind=t.schema.field("item_id").type) for t in tables]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance, first_word, last_word: every benchmark item in every text, with its best stretch.
 
     A match has at most ``EDIT_SHARE`` word edits, and none if the item has under ``LEAST_WORDS`` words. Null and empty
-    texts, null items and items without words match nothing; a row that is repeated gives repeated results; of equal stretches the earliest counts;
-    other columns are ignored; an empty table on either side gives no rows.
+    texts, null items and items without words match nothing; a row that is repeated gives repeated results; of equal stretches the
+    earliest counts; other columns are ignored; an empty table on either side gives no rows. Ids may be of any type. Very long
+    texts are searched whole; places that equal seeds open are merged before any window is looked at.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, first_word long, last_word long"
@@ -344,20 +364,18 @@ def _leak_rows(items: Items):
             met = items.matches(batch.column(1).to_pylist())
             found = [(i, *m) for i, rows in zip(batch.column(0).to_pylist(), met) for m in rows]
             columns = list(zip(*found)) if found else [()] * 5
-            # item ids keep the type that pyarrow reads from them; Spark checks it against the schema
-            arrays = [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], items_type(items))]
+            arrays = [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], items.kind)]
             arrays += [pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "distance", "first_word", "last_word"])
 
     return rows
 
 
-def items_type(items: Items) -> pa.DataType:
-    return pa.array(items.names).type if items.names else pa.int64()
-
-
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text holds no benchmark item."""
+    """The rows of ``docs``, with all columns, whose text holds no benchmark item as :func:`find_leaks` finds them.
+
+    Null and empty texts hold none and stay, repeated rows stay or go together, and an empty table on either side changes nothing.
+    """
     text = docs.columns.index("text")
     for items in benchmark_blocks(benchmark, block_bytes):
 
