@@ -3,8 +3,8 @@
 Every element gets a density: its characters per tag, adjusted by how much of its text and how many of its tags are
 links. The densest element and its path from the body give the threshold (the least density on the path); of the elements
 at or above it, the one whose children's densities sum highest is the main subtree. Elements that are boilerplate
-by name, role, class or id are cut out before densities are taken, those by class or id only where they do not hold the
-page's content, and an article or main element around the chosen subtree is taken whole.
+by name, role, class or id are cut out before densities are taken, forms, dialogs and those by class or id only where they do
+not hold the page's content, and an article or main element around the chosen subtree is taken whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +23,9 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<![\w-])(hidden)(?![\w-])")
+ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<![\w-])(hidden)(?![\w-])")
+#: Markup that needs no end, where no > follows.
+OPEN_END = re.compile(r"<!--|<!\[CDATA\[|<[!?]")
 PART = re.compile(r"[-_]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +47,11 @@ CLOSES = {
     "option": (("option",), ("select",)),
 }
 BOILERPLATE_TAGS = frozenset(
-    "head nav header footer aside form script style noscript template iframe svg canvas math button select option datalist input textarea"
-    " object embed audio video menu dialog noembed noframes xmp title".split()
+    "head nav header footer aside script style noscript template iframe svg canvas math button select option datalist input textarea"
+    " object embed audio video menu noembed noframes xmp title".split()
 )
+#: Boilerplate unless the page's content stands in it, as with a form around the whole page.
+WRAPPERS = frozenset(("form", "dialog"))
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login"
     " masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond"
@@ -65,7 +70,7 @@ class Node:
 
     def __init__(self, tag: str, parent: int, in_link: bool, named: bool = False):
         self.tag, self.parent, self.in_link, self.end = tag, parent, in_link, 0
-        self.named = named  # boilerplate by class or id
+        self.named = named  # boilerplate by class or id, or a form or dialog
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
@@ -85,12 +90,12 @@ def _named(value: str) -> bool:
 
 
 def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Is an element boilerplate for certain, and is it by class or id."""
+    """Is an element boilerplate for certain, and is it unless it holds the content: by class or id, or as a form or dialog."""
     if tag in BOILERPLATE_TAGS:
         return True, False
-    named = False
+    named = tag in WRAPPERS
     if "=" not in attributes and "hidden" not in attributes:
-        return False, False
+        return False, named
     for name, *values, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if hidden or name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -105,8 +110,8 @@ def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def _without_named(page: Page) -> Page:
-    """The page without elements that are boilerplate by class or id, unless they hold its content: a main or article element
-    that is not such itself, or most of the text where no main or article stands elsewhere."""
+    """The page without forms, dialogs and elements that are boilerplate by class or id, unless they hold its content: a main
+    or article element that is not such itself, or most of the text where no main or article stands elsewhere."""
     nodes, texts = page
     chars = [0] * (len(nodes) + 1)  # running sum over nodes in page order
     for node, text in texts:
@@ -137,46 +142,56 @@ def parse(source: str) -> Page:
     """Elements and texts of a page without its boilerplate. Broken markup is mended as browsers do in the usual cases."""
     nodes, texts = [Node("#root", -1, False)], []
     stack = [("#root", 0)]  # (tag, node, or -1 inside boilerplate)
+    open_tags = Counter()  # how often each tag is on the stack, so that a tag without a partner costs nothing
     at, end, searched = 0, len(source), MARKUP.search
+    last = source.rfind(">") + 1  # no tag ends behind it
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             tag, node = stack.pop()
+            open_tags[tag] -= 1
             if node > 0:
                 nodes[node].end = len(nodes)
             if tag not in INLINE and stack[-1][1] >= 0:
                 texts.append((stack[-1][1], " "))
 
     while at < end:
-        found = searched(source, at)
-        stop = found.start() if found else end
+        found = searched(source, at, last) if at < last else None
+        rest = None if found else OPEN_END.search(source, at)
+        stop = found.start() if found else rest.start() if rest else end
         if stack[-1][0] == "head" and source[at:stop].strip():
             close(len(stack) - 1)
         if stop > at and stack[-1][1] >= 0:
             texts.append((stack[-1][1], html.unescape(source[at:stop])))
         if not found:
+            if rest and rest.group() == "<![CDATA[" and stack[-1][1] >= 0:
+                texts.append((stack[-1][1], source[rest.end() :]))
             break
         at = found.end()
         slash, tag, attributes = found.groups()
         if tag is None:
-            if found.group().startswith("<![CDATA[") and stack[-1][1] >= 0:
-                texts.append((stack[-1][1], found.group()[9:].removesuffix("]]>")))
+            markup = found.group()
+            # a comment or section that is still open where the last tag ends goes on to the end
+            if at == last and (markup.startswith("<!--") and not markup.endswith("-->") or markup.startswith("<![CDATA[") and not markup.endswith("]]>")):
+                markup, at = source[found.start() :], end
+            if markup.startswith("<![CDATA[") and stack[-1][1] >= 0:
+                texts.append((stack[-1][1], markup[9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
                 if tag in INLINE and stack[depth][0] not in INLINE:
                     break
             continue
-        if tag == "body" or stack[-1][0] == "head" and tag not in HEAD_TAGS:
+        if open_tags["head"] and (tag == "body" or stack[-1][0] == "head" and tag not in HEAD_TAGS):
             for depth in range(1, len(stack)):
                 if stack[depth][0] == "head":
                     close(depth)
                     break
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             depth = len(stack) - 1
             while stack[depth][0] in INLINE:
                 depth -= 1
@@ -184,7 +199,7 @@ def parse(source: str) -> Page:
                 close(depth)
         elif tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in ends) else ():
                 if stack[depth][0] in bounds:
                     break
                 if stack[depth][0] in ends:
@@ -210,6 +225,7 @@ def parse(source: str) -> Page:
             at = close_tag.end() if close_tag else end
         elif not attributes.endswith("/>") or tag in INLINE or tag in CLOSES_P:
             stack.append((tag, node))
+            open_tags[tag] += 1
         elif node >= 0:
             nodes[node].end = len(nodes)
     close(1)
@@ -286,7 +302,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points): the main text of the whole html of every page.
 
     A null or empty html gives an empty text. Repeated rows and null ids stay, other columns are ignored, an empty table
-    gives no rows. Of elements with equal sums the first in page order is taken.
+    gives no rows. Very long and broken pages are read whole, in time that grows with their length. Of elements with equal
+    sums the first in page order is taken.
     """
 
     def extract(batches):
