@@ -22,7 +22,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import discard, durable
 from .components import connected_components
@@ -140,7 +140,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _set_rows(words: int, segments: Segments | None):
-    """mapInArrow function: doc_id, text, class -> doc_id, class, n, h1, h2, tokens, cut and needs of two keys; or the sets themselves."""
+    """mapInArrow function: doc_id, text, others -> doc_id, others, n, h1, h2, tokens, cut and needs of two keys; or the sets themselves."""
 
     def rows(batches):
         hashes = WordHashes()
@@ -149,7 +149,8 @@ def _set_rows(words: int, segments: Segments | None):
             for at in range(0, len(ids), 256):
                 sets = [shingle_set(t, hashes, words) for t in texts.slice(at, 256).to_pylist()]
                 names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
-                columns = [ids.slice(at, 256), batch.column(2).slice(at, 256), pa.array(map(len, sets), pa.int64())]
+                names_before = ["doc_id", *batch.schema.names[2:], "n", "h1", "h2"]
+                columns = [c.slice(at, 256) for c in (ids, *batch.columns[2:])] + [pa.array(map(len, sets), pa.int64())]
                 for shift in (0, 64):
                     columns.append(pa.array(_signed(np.array([(h >> shift) & (2**64 - 1) for h in names], U))))
                 if segments:
@@ -157,9 +158,9 @@ def _set_rows(words: int, segments: Segments | None):
                     columns.append(_lists([np.concatenate([np.empty(0, U), *t]) for t, _ in keyed]))
                     columns.append(pa.array([len(t[0]) if t else 0 for t, _ in keyed], pa.int32()))
                     columns += [pa.array([n[at] if at < len(n) else None for _, n in keyed], pa.int32()) for at in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "h1", "h2", "tokens", "cut", "need", "need_low"])
+                    yield pa.RecordBatch.from_arrays(columns, [*names_before, "tokens", "cut", "need", "need_low"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["doc_id", "class", "n", "h1", "h2", "members"])
+                    yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], [*names_before, "members"])
 
     return rows
 
@@ -178,7 +179,9 @@ def _shared_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """
     coded = F.posexplode("tokens").alias("at", "token")
     token_rows = rows.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
-    many = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # dealt out once: counting and joining read the same shuffle, a row of two numbers for each token
+    token_rows = token_rows.repartition("token")
+    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("code").alias("_lo"), F.max("code").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
     listed = token_rows.join(many, "token").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
     listed = listed.select(F.shiftright("code", 1).alias("class"), F.col("code").bitwiseAND(1).alias("level"), "tokens")
     needs = rows.join(classes.select("class"), "class", "left_semi").select("class", F.col("need").alias("_own"), F.col("need_low").alias("_low"))
@@ -288,16 +291,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
 
 def _grouped(docs: DataFrame, numbered: DataFrame, percent: int, words: int, spare: int) -> tuple[DataFrame, DataFrame]:
-    """Stored rows (doc_id, class, n, h1, h2), ``class`` being a row's number, and their classes with the component of each."""
+    """Stored rows (doc_id, class, n, h1, h2, and what else of ``numbered`` is), ``class`` being a row's number, and their classes
+    with the component of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    named = f"doc_id {kind}, class long, n long, h1 long, h2 long"
-    made = numbered.select("doc_id", "text", "class").mapInArrow(_set_rows(words, Segments(percent, spare)), f"{named}, tokens array<long>, cut int, need int, need_low int")
+    others = [c for c in numbered.columns if c not in ("doc_id", "text")]
+    named = f"doc_id {kind}, {', '.join(f'{c} long' for c in others)}, n long, h1 long, h2 long"
+    made = numbered.select("doc_id", "text", *others).mapInArrow(_set_rows(words, Segments(percent, spare)), f"{named}, tokens array<long>, cut int, need int, need_low int")
     full = durable(made, "sets")
-    rows = durable(full.select("doc_id", "class", "n", "h1", "h2"), "rows")
+    rows = durable(full.drop("tokens", "cut", "need", "need_low"), "rows")
     classes = _classes(rows)
     shared = _shared_tokens(full, classes)
     discard(full)
-    edges = _class_links(docs, shared, classes, named, percent, words)
+    edges = _class_links(docs, shared, classes, f"doc_id {kind}, n long, h1 long, h2 long", percent, words)
     found = connected_components(edges).withColumnRenamed("node", "class")
     grouped = durable(classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "components")
     discard(classes, edges)
@@ -313,9 +318,9 @@ def _class_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, named:
     kept = qualified.select("class").unionByName(qualified.select(F.col("pivot").alias("class"))).distinct()
     wanted = kept.join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").withColumn("class", F.lit(0).cast("long"))
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     again = texts.mapInArrow(_set_rows(words, None), f"{named}, members array<long>")
-    again = again.drop("doc_id", "class").dropDuplicates(["n", "h1", "h2"])
+    again = again.drop("doc_id").dropDuplicates(["n", "h1", "h2"])
     sets = durable(wanted.select("class", "n", "h1", "h2").join(again, ["n", "h1", "h2"]).select("class", "n", "members"), "members")
 
     compared = durable(_compared(qualified, sets, percent), "compared")
@@ -328,21 +333,39 @@ def _class_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, named:
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """One row of ``docs``, with all columns, of each component: that of the smallest doc_id, the first of those by row number.
+    """One row of ``docs``, with all columns, of each component: that of the smallest doc_id, and of its rows that with the
+    smallest hash of the text.
 
     A row without an id gives way to any with one. A null text, or one without words, links with nothing, so its row stays,
     as do all of several such; exact repeats of other rows go down to one. Whatever stands in no other row stays, also where
     another row of its id goes. An empty table gives no rows.
     """
+    text = F.col("text").cast("string")
+    marks = {"t1": F.xxhash64(text), "t2": F.xxhash64(text, F.lit("again"))}  # with the id they name a row, or its exact repeats
+    texts = docs.select("doc_id", text.alias("text"))
+    numbered = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("class"), *[mark.alias(c) for c, mark in marks.items()])
+    rows, classes = _grouped(texts, numbered, percent, words, SPARE)
+    grouped = rows.where("n > 0").join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"])
+    named = grouped.groupBy("component", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t1"), F.col("t2"))).alias("kept")
+    best = named.groupBy("component").agg(first, F.sum("times").alias("size")).where("size > 1").drop("size")
+    mine = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t1"), F.col("t2"))
+    judged = durable(named.join(best, "component").select("doc_id", "t1", "t2", "times", mine.eqNullSafe(F.col("kept")).alias("stays")), "judged")
+    discard(rows, classes)
+
+    def matching(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+        same = rows["doc_id"].eqNullSafe(which["_id"]) & (marks["t1"] == which["_t1"]) & (marks["t2"] == which["_t2"])
+        return rows.join(which, same, how)
+
+    left = matching(docs, judged.where("NOT stays"), "left_anti")
+    repeated = judged.where("stays AND times > 1")
+    if repeated.isEmpty():
+        return left
+    several = matching(left, repeated, "left_semi")
     mark = "_row"
     while mark in docs.columns:
         mark += "_"
-    numbered = durable(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select("doc_id", F.col("text").cast("string").alias("text"), F.col(mark).alias("class"))
-    rows, classes = _grouped(texts.drop("class"), texts, percent, words, SPARE)
-    grouped = rows.where("n > 0").join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"])
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("class")))["class"]
-    kept = grouped.groupBy("component").agg(first.alias("_kept"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    gone = durable(grouped.join(kept, "component").where(F.col("class") != F.col("_kept")).select(F.col("class").alias(mark)), "gone")
-    discard(rows, classes)
-    return numbered.join(gone, mark, "left_anti").drop(mark)
+    names = [F.col("doc_id").isNull(), F.col("doc_id"), *marks.values()]
+    once = several.withColumn(mark, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).where(F.col(mark) == 1).drop(mark)
+    return matching(left, repeated, "left_anti").unionByName(once)
