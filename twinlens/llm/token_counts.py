@@ -1,15 +1,18 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a broadcast hash table of frequent pre-tokens and their token counts. Pre-tokens that it misses are encoded
-once per worker and remembered in a bounded cache, so no pre-token of the corpus is ever shuffled. The table only saves
-work: whatever it holds, the counts are those of the tokenizer.
+once per Python worker and remembered in a bounded cache that its tasks share, so no pre-token of the corpus is ever shuffled.
+The table only saves work: whatever it holds, the counts are those of the tokenizer. A file that splits or changes texts in another
+way than byte-level BPE does is not looked up by pre-tokens; its whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import pyarrow as pa
@@ -28,11 +31,23 @@ LONG_WORD = 64  # longer pre-tokens are encoded each time, so that caches stay s
 RUN = 200_000  # pre-tokens held at once of a long text
 
 
+def splits_as_known(file: dict) -> bool:
+    """Does a tokenizer file split texts by ``SPLIT`` alone, and at special strings as they stand?"""
+    first = file.get("pre_tokenizer") or {}
+    split = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    plain = not any(token.get(flag) for token in file.get("added_tokens") or () for flag in flags)
+    return bool(split and plain and not file.get("normalizer") and file.get("model", {}).get("type") == "BPE")
+
+
 class PreTokens:
     """Splits texts as a byte-level tokenizer file does, special strings first."""
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known = splits_as_known(json.loads(self.tokenizer.to_str()))
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.any = regex.compile(SPLIT)
@@ -74,7 +89,15 @@ class WorkerCache(dict):
         return n
 
 
+@cache
+def worker_cache(file: str) -> WorkerCache:
+    """One for each Python worker, whose tasks share it."""
+    return WorkerCache(PreTokens(file))
+
+
 def _count(text: str, words: PreTokens, table: dict[str, int], cache: WorkerCache) -> int:
+    if not words.known:
+        return words.length(text)
     parts, total = words.parts(text)
     for part in parts:
         for run in words.runs(part):
@@ -90,11 +113,14 @@ def frequent_pre_tokens(docs: DataFrame, file: str, size: int = TABLE_SIZE, samp
 
     Only the vocabulary of that bounded sample is shuffled, and at most ``size`` entries reach the driver.
     """
+    words = PreTokens(file)
+    if not words.known:
+        return {}
     every = max(1, docs.count() // sample_rows)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where("text IS NOT NULL").select("text")
 
     def tally(batches):
-        words, found = PreTokens(file), Counter()
+        words, found = worker_cache(file).words, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in words.parts(text)[0]:
@@ -105,23 +131,22 @@ def frequent_pre_tokens(docs: DataFrame, file: str, size: int = TABLE_SIZE, samp
 
     counted = sample.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
-    words = PreTokens(file)
     return {row.word: words.length(row.word) for row in top}
 
 
 def count_tokens(docs: DataFrame, file: str, table_size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Tokens of every whole text, without begin, end or added special tokens.
 
-    ``file`` is a byte-level BPE file of ``tokenizers``. Returns doc_id, n_bytes (UTF-8) and n_tokens, one row per input
+    ``file`` is a file of ``tokenizers``, at the same path on every worker. Returns doc_id, n_bytes (UTF-8) and n_tokens, one row per input
     row: a null text counts as empty (0 and 0), repeated rows and null ids are kept, other columns are ignored, and an
-    empty table gives an empty result. Special strings inside a text count one token each, as the library does by default.
+    empty table gives an empty result. Texts are read whole, long ones in runs of pre-tokens. Special strings inside a text count one token each, as the library does by default.
     """
     docs = docs.select("doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(docs, file, table_size, sample_rows))
 
     def count(batches):
-        words = PreTokens(file)
-        cache = WorkerCache(words)
+        cache = worker_cache(file)
+        words = cache.words
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_tokens = [_count(t, words, table.value, cache) for t in texts]

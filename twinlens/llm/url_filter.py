@@ -26,8 +26,8 @@ RULES = {
 #: Words whose presence among the words of a host puts it on the block list of :func:`listed_hosts`.
 LISTED_WORDS = ("ads", "adult", "bet", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "xxx")
 
-BITS_PER_KEY = 8
-MOST_BITS = 1 << 24  # of all levels together: 2 MB that every task gets with the plan, 2 million listed hosts
+LATER_RATE = 0.5  # false positives of the levels after the first
+MOST_BITS = 1 << 24  # of all levels together: 2 MB that every task gets with the plan; 1.4 million listed hosts among 70 million
 LEVELS = 64
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,8 +74,13 @@ class Level:
         return found
 
 
-def _level(number: int, keys: DataFrame, n: int, bits_per_key: int) -> Level:
-    bits, hashes = max(64, n * bits_per_key), max(1, round(bits_per_key * math.log(2)))
+def level_size(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hash functions of a filter that takes the share ``rate`` of other keys for one of its ``n``."""
+    hashes = max(1, round(-math.log2(rate)))
+    return max(64, math.ceil(n * hashes / math.log(2))), hashes
+
+
+def _level(number: int, keys: DataFrame, bits: int, hashes: int) -> Level:
     at = F.explode(F.array(*(_position(F.col("key"), number, k, bits) for k in range(hashes)))).alias("at")
     words = keys.select(at).select(F.floor(F.col("at") / 32).alias("word"), F.expr("shiftleft(1L, cast(at % 32 AS int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most bits / 32 rows
@@ -83,25 +88,37 @@ def _level(number: int, keys: DataFrame, n: int, bits_per_key: int) -> Level:
 
 
 class Cascade:
-    """Exact membership on a key universe."""
+    """Exact membership on a key universe.
+
+    The first level is sized by the ratio of listed to other keys, so that about as many false positives get past it as there
+    are listed keys; each later one lets half of its keys' opposites through (Larisch et al., 2017).
+    """
+
+    def __init__(self, universe: DataFrame, bits_per_key: int | None = None, most_bits: int = MOST_BITS):
+        """``universe`` has distinct, non-null ``key`` and boolean ``listed``, and is read once for each level.
 
-    def __init__(self, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, most_bits: int = MOST_BITS):
-        """``universe`` has distinct, non-null ``key`` and boolean ``listed``, and is read once for each level."""
+        ``bits_per_key`` fixes the size of all levels instead.
+        """
         self.levels: list[Level] = []
-        taken, used = universe, 0
+        self.bits = 0
+        taken = universe
+        n, others = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
         while len(self.levels) < LEVELS:
-            number = len(self.levels)
-            # even levels hold listed keys, odd levels the others that got past every level so far
-            keys = taken.where(F.col("listed") == F.lit(number % 2 == 0))
-            n = keys.count()
             if n == 0:
                 return
-            used += n * bits_per_key
-            if used > most_bits:
-                raise CascadeTooLarge(f"{used} bits")
-            level = _level(number, keys.select("key"), n, bits_per_key)
+            number = len(self.levels)
+            # even levels hold listed keys, odd levels the others that got past every level so far
+            mine = F.col("listed") == F.lit(number % 2 == 0)
+            rate = LATER_RATE if number else min(LATER_RATE, n * math.sqrt(0.5) / max(1, others))
+            rate = 0.5 ** max(1, round(bits_per_key * math.log(2))) if bits_per_key else rate
+            bits, hashes = level_size(n, rate)
+            self.bits += bits
+            if self.bits > most_bits:
+                raise CascadeTooLarge(f"{self.bits} bits")
+            level = _level(number, taken.where(mine).select("key"), bits, hashes)
             self.levels.append(level)
-            taken = taken.where((F.col("listed") == F.lit(number % 2 == 0)) | level.contains(F.col("key")))
+            taken = taken.where(mine | level.contains(F.col("key")))
+            n = taken.where(~mine).count()
         raise CascadeTooLarge(f"{LEVELS} levels")
 
     def contains(self, key: Column) -> Column:
@@ -121,16 +138,26 @@ def listed_hosts(hosts: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> Dat
     return hosts.withColumn("listed", F.arrays_overlap(F.split("key", "[.-]"), F.array(*map(F.lit, words))))
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, words: tuple[str, ...] = LISTED_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: dict[str, str] = RULES, words: tuple[str, ...] = LISTED_WORDS, most_bits: int = MOST_BITS, block_list: DataFrame | None = None
+) -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict: the rule's, else block for a listed host, else allow.
 
+    ``block_list`` is a table with the listed ``host``s in lower case; without one, hosts are listed by their ``words``.
+
     A null url or one without ``://`` has an empty host and path and is allowed. Repeated rows and null ids stay, other
-    columns are ignored, an empty table gives no rows. Two rules of one length cannot both be the longest for a url
+    columns are ignored, an empty table gives no rows; urls are read whole. Two rules of one length cannot both be the longest for a url
     unless they are equal. Beyond ``most_bits`` bits of the cascade the hosts are joined by shuffle, with the same rows.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = durable(listed_hosts(urls.where("host <> ''").select(F.col("host").alias("key")).distinct(), words), "hosts")
+    hosts = urls.where("host <> ''").select(F.col("host").alias("key")).distinct()
+    if block_list is None:
+        hosts = listed_hosts(hosts, words)
+    else:
+        listed = block_list.select(F.col("host").alias("key"), F.lit(True).alias("listed")).distinct()
+        hosts = hosts.join(listed, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    universe = durable(hosts, "hosts")
     try:
         listed = Cascade(universe, most_bits=most_bits).contains(F.col("host"))
     except CascadeTooLarge:
