@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from twinlens.operators import relate
+import numpy as np
+
+from twinlens.operators import relate, sparse
 
 from .base import SQL_LINES, line_sample, query, rounded, vectors
 
@@ -42,3 +44,28 @@ def correlation_edges(spark, sf):
 def partial_correlation(spark, sf):
     """Cross-validated sparse inverse covariance; iterative, so checked against numpy in the tests."""
     return relate.partial_correlation(vectors(spark, sf))
+
+
+@query("partial_correlation_lines", f"""
+WITH {SQL_LINES}, r AS (
+SELECT 0 AS id_variable_1, 1 AS id_variable_2, abs(corr(l_discount, l_extendedprice)) AS r FROM lines
+UNION ALL SELECT 0, 2, abs(corr(l_discount, l_quantity)) FROM lines UNION ALL SELECT 0, 3, abs(corr(l_discount, l_tax)) FROM lines
+UNION ALL SELECT 1, 2, abs(corr(l_extendedprice, l_quantity)) FROM lines UNION ALL SELECT 1, 3, abs(corr(l_extendedprice, l_tax)) FROM lines
+UNION ALL SELECT 2, 3, abs(corr(l_quantity, l_tax)) FROM lines)
+SELECT id_variable_1, id_variable_2, round(greatest(r - 0.2, 0), 6) + 0.0 AS correlation_score FROM r""")
+def partial_correlation_lines(spark, sf):
+    """One penalty: only price and quantity are related beyond it, and two variables have a closed form, |r| less the penalty."""
+    return rounded(relate.partial_correlation(line_sample(spark, sf), penalty=0.2), "correlation_score")
+
+
+@query("sparse_components", f"""
+WITH RECURSIVE {SQL_RELATION},
+links AS (SELECT id_variable_1 AS a, id_variable_2 AS b FROM relation WHERE correlation_score > 0.1 UNION ALL SELECT id_variable_2, id_variable_1 FROM relation WHERE correlation_score > 0.1),
+reach AS (SELECT DISTINCT id_variable AS a, id_variable AS b FROM pooled UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT a AS id_variable, min(b) AS component FROM reach GROUP BY 1""")
+def sparse_components(spark, sf):
+    """Components of the sparse inverse's own zero pattern: by theorem those of the correlations cut at the penalty."""
+    cells = relate.partial_correlation(vectors(spark, sf), penalty=0.1).where("correlation_score > 0")
+    links = np.array([(r["id_variable_1"], r["id_variable_2"]) for r in cells.collect()], int).reshape(-1, 2)  # of 64 variables
+    labels = sparse.labels_of(64, links)
+    return spark.createDataFrame([(k, int(c)) for k, c in enumerate(labels)], "id_variable int, component int")

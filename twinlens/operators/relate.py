@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.hashing import hash_number
 from ..functions.values import to_number
 from ..model import TwoSample, quoted
+from ..runtime import durable
+from . import sparse
+from .sparse import sparse_precision as _sparse_precision  # noqa: F401  its conditions are tested under this name
 from .stats import scaled
 
 WIDE_PAIR_COLUMNS = 16
@@ -101,6 +104,8 @@ def absolute_pearson(sample: TwoSample) -> DataFrame:
         varied = (F.col("n") > 1) & (spread("x", "xx") > CONSTANT) & (spread("y", "yy") > CONSTANT)
         score = F.when(varied, score)
         return sums.select(F.col("i").alias("id_variable_1"), F.col("j").alias("id_variable_2"), F.coalesce(score, F.lit(0.0)).alias("correlation_score"))
+    if len(names) < 2:
+        return sample.frame.sparkSession.createDataFrame([], "id_variable_1 int, id_variable_2 int, correlation_score double")
     value = lambda k: to_number(quoted(names[k]))
     pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
     beside = lambda a, b: F.stddev_pop(F.when(value(b).isNotNull(), value(a)))  # over the rows that have both
@@ -130,103 +135,57 @@ def both_directions(relation: DataFrame) -> DataFrame:
     return relation.select(F.inline(ends), F.col("correlation_score").alias("score"))
 
 
-def _sparse_precision(covariance: np.ndarray, alpha: float, steps: int = 500, tolerance: float = 1e-6):
-    """Inverse covariance with an L1 penalty off the diagonal, by alternating directions (Boyd et al., 2011)."""
-    size = len(covariance)
-    sparse, dual, rho = np.diag(1.0 / (np.diag(covariance) + alpha)), np.zeros_like(covariance), 1.0
-    for _ in range(steps):
-        roots, vectors = np.linalg.eigh(rho * (sparse - dual) - covariance)
-        dense = (vectors * ((roots + np.sqrt(roots**2 + 4 * rho)) / (2 * rho))) @ vectors.T
-        moved = dense + dual
-        previous, sparse = sparse, np.sign(moved) * np.maximum(np.abs(moved) - alpha / rho, 0.0)
-        np.fill_diagonal(sparse, np.diag(moved))
-        dual += dense - sparse
-        primal, change = np.linalg.norm(dense - sparse), rho * np.linalg.norm(sparse - previous)
-        if max(primal, change) < tolerance * size:
-            break
-        # keep both residuals in step
-        factor = 2.0 if primal > 10 * change else 0.5 if change > 10 * primal else 1.0
-        rho, dual = rho * factor, dual / factor
-    return dense, sparse
-
-
-def _held_out_likelihood(precision: np.ndarray, covariance: np.ndarray) -> float:
-    sign, logdet = np.linalg.slogdet(precision)
-    return logdet - float(np.sum(covariance * precision)) if sign > 0 else -np.inf
+def fold_covariances(sample: TwoSample, folds: int = 5, seed: int = 42, width: int = sparse.TILE) -> sparse.Covariances:
+    """Covariances of the scaled sample, whole and by fold; rows are dealt to folds by a hash of their key."""
+    fold = hash_number(quoted(sample.key), seed, folds) if folds > 1 else F.lit(0)
+    return sparse.covariances(scaled(sample), fold, folds, width)
 
 
 def partial_correlation(
-    sample: TwoSample, folds: int = 5, alphas: int = 4, refinements: int = 4, seed: int = 42
+    sample: TwoSample, folds: int = 5, alphas: int = 4, refinements: int = 4, seed: int = 42, penalty: float | None = None
 ) -> DataFrame:
     """|Partial correlation| from a cross-validated sparse inverse covariance, in the form of :func:`absolute_pearson`.
 
-    Rows are only touched to sum products per fold. The fold matrices have d x d entries whatever the row count;
-    each (fold, penalty) fit is a task of its own, and the grid is narrowed around the best penalty ``refinements``
-    times. Only a fit that fails in its numbers falls back to the absolute Pearson correlation; matrices too large for
-    the driver are an error.
+    Rows are only touched to sum products per fold. Every (fold, penalty) falls into the components of its own cut covariance
+    (``operators/sparse.py``), each fitted by a task of its own, and the grid is narrowed around the best penalty
+    ``refinements`` times; a given ``penalty`` is taken as it is. The number of variables has no limit, but a component is
+    fitted as one matrix. Only a fit that fails in its numbers falls back to the absolute Pearson correlation.
     """
-    d = len(sample.features)
-    if d < 2:
+    if len(sample.features) < 2:
         return absolute_pearson(sample)
-    if 2 * folds * d * d * 8 > MATRIX_BYTES_LIMIT:
-        raise OverflowError(f"{d} variables give fold matrices above {MATRIX_BYTES_LIMIT} bytes")
     try:
-        return _partial_correlation(sample, folds, alphas, refinements, seed)
-    except (np.linalg.LinAlgError, FloatingPointError, ValueError) as problem:
-        log.warning("sparse inverse covariance failed (%s); using absolute correlation", problem)
-        return absolute_pearson(sample)
+        found = fold_covariances(sample, folds if penalty is None else 1, seed)
+        best = _best_penalty(found, alphas, refinements) if penalty is None else penalty
+        cells = durable(sparse.precision_cells(found, best), "precision").drop("precision")
+        if cells.where(F.isnan("correlation_score")).isEmpty():
+            return cells
+        problem = "no fit of the whole sample"
+    except (np.linalg.LinAlgError, FloatingPointError, ValueError) as failed:
+        problem = failed
+    log.warning("sparse inverse covariance failed (%s); using absolute correlation", problem)
+    return absolute_pearson(sample)
 
 
-def _partial_correlation(sample: TwoSample, folds: int, alphas: int, refinements: int, seed: int) -> DataFrame:
-    spark, d = sample.frame.sparkSession, len(sample.features)
-    standard = scaled(sample)
-    folded = standard.with_frame(standard.frame.withColumn("fold", hash_number(quoted(sample.key), seed, folds)))
-    sums = {}
-    for r in gram_sums(folded, "fold").toPandas().itertuples():
-        matrix = sums.setdefault(r.group, np.zeros((d + 1, d + 1)))
-        matrix[r.i, r.j] = matrix[r.j, r.i] = r.part
-
-    def covariance(gram):
-        mean = gram[:d, d] / gram[d, d]
-        return gram[:d, :d] / gram[d, d] - np.outer(mean, mean)
-
-    total = sum(sums.values())
-    whole = covariance(total)
-    splits = spark.sparkContext.broadcast([(covariance(total - part), covariance(part)) for part in sums.values()])
-    n_splits = len(sums)
-
-    def fit_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cells in batches:
-            scores = []
-            for cell in cells.itertuples():
-                train, test = splits.value[cell.split]
-                scores.append(_held_out_likelihood(_sparse_precision(train, cell.alpha)[0], test))
-            yield cells.assign(score=scores)
-
-    top = float(np.max(np.abs(whole - np.diag(np.diag(whole)))))
+def _best_penalty(found: sparse.Covariances, alphas: int, refinements: int) -> float:
+    """The penalty of the highest mean likelihood over the folds."""
+    top = sparse.largest_covariance(found)
     if not np.isfinite(top) or top == 0.0:
         raise ValueError("no pair of variables is related")
+    splits = [k for k in found.train if k != sparse.WHOLE]
+    if not splits:
+        raise ValueError("folds need rows inside and outside of them")
     grid, scores = list(np.geomspace(0.01 * top, top, alphas)), {}
     for _ in range(refinements):
-        cells = [(s, float(a)) for a in grid if a not in scores for s in range(n_splits)]
-        table = spark.createDataFrame(cells, "split int, alpha double").repartition(max(len(cells), 1))
-        fitted = table.mapInPandas(fit_cells, "split int, alpha double, score double")
-        scores.update({r["alpha"]: r["score"] for r in fitted.groupBy("alpha").agg(F.avg("score").alias("score")).collect()})
+        cells = [sparse.Cell(s, float(a)) for a in grid if a not in scores for s in splits]
+        reached = sparse.held_out_scores(found, cells)
+        for alpha in {cell.alpha for cell in cells}:
+            scores[alpha] = float(np.mean([r for cell, r in zip(cells, reached) if cell.alpha == alpha]))
         tried = sorted(scores)
         at = max(range(len(tried)), key=lambda k: (scores[tried[k]], tried[k]))
         low = tried[at - 1] if at > 0 else tried[at] * 0.1
         high = tried[at + 1] if at + 1 < len(tried) else tried[at]
         grid = [float(a) for a in np.geomspace(low, high, alphas + 2)[1:-1]]
-    best = tried[at]
-
-    _, sparse = _sparse_precision(whole, best)
-    sizes = np.sqrt(np.diag(sparse))
-    matrix = np.abs(sparse) / np.outer(sizes, sizes)
-    if not np.all(np.isfinite(matrix)):
-        raise ValueError("the inverse covariance has no usable diagonal")
-    i, j = np.triu_indices(d, 1)
-    table = pd.DataFrame({"id_variable_1": i.astype("int32"), "id_variable_2": j.astype("int32"), "correlation_score": matrix[i, j]})
-    return spark.createDataFrame(table, "id_variable_1 int, id_variable_2 int, correlation_score double")
+    return tried[at]
 
 
 def relationship(sample: TwoSample, method: str = "graphical_lasso") -> DataFrame:
