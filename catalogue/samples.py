@@ -43,6 +43,33 @@ def split_halves(spark, sf):
     return halves.select("o_orderkey", "label")
 
 
+@query("split_halves_text", """
+WITH d AS (SELECT doc_id, concat(lang, '/', source, '/', doc_id) AS key FROM documents)
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY key) <= (SELECT count(*) // 2 FROM d) THEN 'X' ELSE 'Y' END AS label FROM d""")
+def split_halves_text(spark, sf):
+    """Text keys, in the order of their bytes."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("key"))
+    return sample.split_in_halves(docs, "key").select("doc_id", "label")
+
+
+@query("split_halves_large", """
+SELECT o_orderkey, CASE WHEN ntile(2) OVER (ORDER BY o_orderkey DESC) = 1 THEN 'Y' ELSE 'X' END AS label FROM orders""")
+def split_halves_large(spark, sf):
+    """Whole numbers beyond 2^53, which doubles would merge."""
+    large = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(1 << 62)).alias("key"))
+    return sample.split_in_halves(large, "key").select("o_orderkey", "label")
+
+
+@query("capped_repeats", """
+WITH c AS (SELECT label, count(*) AS n FROM (SELECT CASE WHEN year(o_orderdate) IN (1996, 1997) THEN 'X' ELSE 'Y' END AS label
+  FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1999, 2000)) GROUP BY 1)
+SELECT label, least(n, 500) AS n FROM c""")
+def capped_repeats(spark, sf):
+    """A key that stands on many rows: the cap still takes no more than it was asked for."""
+    repeated = orders(spark, sf).withColumn("key", (F.col("o_orderkey") % 7).cast("string"))
+    return sample.capped(repeated, "key", 500).groupBy("label").agg(F.count("*").alias("n"))
+
+
 SQL_CARDS_FLAG = """
 flagged AS (SELECT event_id, user_id, value, CASE WHEN value >= 50 THEN 1 WHEN value >= 10 THEN 0 END AS match FROM events)"""
 

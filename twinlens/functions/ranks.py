@@ -7,6 +7,7 @@ spread; only inside a range are rows put in order. Where only the middle is need
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +17,7 @@ CUT_VALUES_LIMIT = 1_000_000
 SKETCH_ACCURACY = 2_000
 BRACKET = 0.003
 SLICES = 1024
+HELD_VALUES = 1_000_000  # distinct values that a task counts before it passes them on
 
 
 def cut_points(rows: DataFrame, value: str, by: str | None = None, ranges: int | None = None, groups: int = 1):
@@ -93,6 +95,11 @@ def exact_median(
         *group, "total", F.when(inside, F.coalesce(part, F.lit(0))).otherwise(-1).alias("slice"), F.when(inside, F.col("v")).alias("v")
     ).agg(F.count("*").alias("n"))
 
+    return _middle_of(counts, group, name, few_groups, upper)
+
+
+def _middle_of(counts: DataFrame, group: list[str], name: str, few_groups: bool, upper: bool = False) -> DataFrame:
+    """``(*group, name)`` from counted values ``(*group, total, slice, v, n)``; slice -1 has what lies below the bracket."""
     middle = (F.col("total") - 1) / 2
     holds = lambda place: (place >= F.col("upto") - F.col("n")) & (place < F.col("upto"))
     running = lambda by, order: F.sum("n").over(Window.partitionBy(*by).orderBy(order))
@@ -107,3 +114,84 @@ def exact_median(
     missed = F.raise_error(F.lit("the bracket of a median missed its middle")).cast("double")
     value_at = F.col("above") if upper else (F.col("below") + F.col("above")) / 2
     return picked.select(*group, F.coalesce(value_at, missed).alias(name))
+
+
+def wide_medians(df: DataFrame, columns: dict[str, Column], flags: dict[str, Column] | None = None) -> tuple[dict[str, float], dict[str, bool]]:
+    """Exact median of many numeric columns in two scans, and whether each of ``flags`` holds anywhere, from the first of them.
+
+    Rows are never multiplied by columns: the first scan is one aggregate that holds a sketch per column, the second counts
+    with one pass over column batches what lies below each bracket and which values stand inside. Columns without a value are
+    left out.
+    """
+    flags = flags or {}
+    values = {c: F.nanvl(column.cast("double"), F.lit(None).cast("double")) for c, column in columns.items()}
+    near = lambda v: F.percentile_approx(v, [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
+    first = [a.alias(f"{kind}{i}") for i, v in enumerate(values.values()) for kind, a in (("n", F.count(v)), ("lo", F.min(v)), ("hi", F.max(v)), ("near", near(v)))]
+    first += [F.max(F.coalesce(flag, F.lit(False))).alias(f"flag{i}") for i, flag in enumerate(flags.values())]
+    if not first:
+        return {}, {}
+    found = df.agg(*first).first()
+    held = {c: bool(found[f"flag{i}"]) for i, c in enumerate(flags)}
+    brackets = {}
+    for i, c in enumerate(values):
+        total = found[f"n{i}"]
+        if total:
+            low, high = (found[f"lo{i}"], found[f"hi{i}"]) if total < 1_000 else found[f"near{i}"]
+            brackets[c] = (total, low, high)
+    medians = {c: low for c, (_, low, high) in brackets.items() if low == high}
+    names = [c for c in brackets if c not in medians]
+    if not names:
+        return medians, held
+    ends = [brackets[c] for c in names]
+
+    def counted(batches):
+        below = np.zeros(len(names), np.int64)
+        inside: list[dict[float, int]] = [{} for _ in names]
+
+        def flush():
+            rows = [(i, ends[i][0], -1, None, int(n)) for i, n in enumerate(below) if n]
+            for i, values_of in enumerate(inside):
+                total, low, high = ends[i]
+                rows += [(i, total, min(int((v - low) / (high - low) * SLICES), SLICES - 1), v, n) for v, n in values_of.items()]
+                values_of.clear()
+            below[:] = 0
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["i", "total", "slice", "v", "n"])
+
+        for batch in batches:
+            for i, (_, low, high) in enumerate(ends):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                below[i] += np.count_nonzero(v < low)
+                for value, n in zip(*np.unique(v[(v >= low) & (v <= high)], return_counts=True)):
+                    inside[i][float(value)] = inside[i].get(float(value), 0) + int(n)
+            if sum(map(len, inside)) > HELD_VALUES:
+                yield flush()
+        yield flush()
+
+    rows = df.select(*[values[c].alias(f"c{i}") for i, c in enumerate(names)])
+    counts = rows.mapInArrow(counted, "i int, total long, slice int, v double, n long").groupBy("i", "total", "slice", "v").agg(F.sum("n").alias("n"))
+    medians |= {names[r["i"]]: r["median"] for r in _middle_of(counts, ["i"], "median", True).collect()}
+    return medians, held
+
+
+def middle_value(rows: DataFrame, value: str):
+    """The upper middle value of a column of any ordered type, None without a value.
+
+    Distinct values are counted, dealt into ranges and stored; the totals of the ranges tell the one that holds the middle, and
+    only that one is put in order.
+    """
+    spark = rows.sparkSession
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    parts = max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
+    ranged = durable(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    # parts of a range partitioning are in order
+    totals = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    middle, before = sum(n for _, n in totals) // 2, 0
+    for part, n in totals:
+        if middle < before + n:
+            upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+            inside = ranged.where(F.col("part") == part).withColumn("upto", upto + F.lit(before))
+            return inside.where(F.col("upto") > middle).agg(F.min("v")).first()[0]
+        before += n
+    return None

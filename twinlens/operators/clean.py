@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.ranks import exact_median
+from ..functions.ranks import exact_median, wide_medians
 from ..functions.values import to_number
 from ..model import quoted
 from ..runtime import broadcast_if_small, durable
@@ -49,19 +49,9 @@ def fill_group_id(df: DataFrame, column: str, default: int = 1) -> DataFrame:
     return _replace(df, {column: F.coalesce(to_number(quoted(column)).cast("int"), F.lit(default))})
 
 
-def _long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    values = [F.struct(F.lit(c).alias("name"), to_number(quoted(c)).alias("v")) for c in columns]
-    return df.select(F.explode(F.array(*values)).alias("s")).select("s.*").where(F.col("v").isNotNull())
-
-
 def column_medians(df: DataFrame, columns) -> dict[str, float]:
-    """Exact median per column; a column without any value is left out."""
-    names = list(columns)
-    if not names:
-        return {}
-    rows = _long_numbers(df, names)
-    found = exact_median(rows, ["name"], "v")
-    return {r["name"]: r["median"] for r in found.collect()}
+    """Exact median per column, in two scans of the table; a column without any value is left out."""
+    return wide_medians(df, {c: to_number(quoted(c)) for c in columns})[0]
 
 
 def column_modes(df: DataFrame, columns) -> dict:
@@ -107,27 +97,20 @@ def impute_modes(df: DataFrame, columns, fallback: int = 1) -> DataFrame:
 def impute_generic(df: DataFrame, columns=None) -> DataFrame:
     """Numbers get their median (else 0), all other columns their mode (else ``'None'``)."""
     names = _present(df, columns if columns is not None else df.columns)
-    gaps = _with_gaps(df, names)
-    numeric = [c for c in names if c in gaps and isinstance(df.schema[c].dataType, T.NumericType)]
-    other = [c for c in names if c in gaps and c not in numeric]
-    medians, modes = column_medians(df, numeric), column_modes(df, other)
+    numeric = [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
+    medians, gaps = wide_medians(df, {c: to_number(quoted(c)) for c in numeric}, {c: _missing(df, c) for c in names})
+    numeric = [c for c in numeric if gaps[c]]
+    other = [c for c in names if gaps[c] and c not in numeric]
+    modes = column_modes(df, other)
     fills = {c: float(medians.get(c, 0.0)) for c in numeric} | {c: modes.get(c, "None") for c in other}
     return _fill_values(coerce_numbers(df, numeric), fills)
 
 
-def _with_gaps(df: DataFrame, names: list[str]) -> set[str]:
-    """Columns that miss a value somewhere, from one scan."""
-    if not names:
-        return set()
-
-    def missing(c):
-        column = quoted(c)
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-            return F.coalesce(F.isnan(column), F.lit(False)) | column.isNull()
-        return column.isNull()
-
-    found = df.agg(*[F.max(missing(c)).alias(f"gap_{i}") for i, c in enumerate(names)]).first()
-    return {c for i, c in enumerate(names) if found[i]}
+def _missing(df: DataFrame, name: str) -> Column:
+    column = quoted(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(column), F.lit(False)) | column.isNull()
+    return column.isNull()
 
 
 def impute_group_median(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import row_hash
-from ..functions.ranks import exact_median
+from ..functions.ranks import middle_value
 from ..model import X, Y, TwoSample, quoted
+from ..runtime import durable
 
 TRANSITION = "T"
 
@@ -51,25 +52,24 @@ def split_rest(df: DataFrame, key: str | None = None, label: str = "label") -> D
 
 
 def split_in_halves(df: DataFrame, key: str | None, label: str = "label") -> DataFrame:
-    """The first half of the numeric keys is X, the second half Y; the border is their exact upper median."""
+    """The first half of the keys, in the order of their own type, is X, the second half Y; a key that is missing belongs to Y."""
     if key is None:
         raise KeyError("a key column is needed to split the table in halves")
-    number = quoted(key).cast("double")
-    border = exact_median(df.select(number.alias("k")), [], "k", "border", upper=True).first()["border"]
-    return df.withColumn(label, F.when(number < F.lit(border), X).otherwise(Y))
+    border = middle_value(df.select(quoted(key).alias("k")), "k")
+    first = quoted(key) < F.lit(border).cast(df.schema[key].dataType)
+    return df.withColumn(label, F.when(first, X).otherwise(Y))
 
 
-def _hash_borders(df: DataFrame, key: str, wanted: Column, seed: int, label: str) -> DataFrame:
-    """Per label, hash and key of the last of the ``wanted`` rows in hash order: ``(label, total, edge_hash, edge_key)``.
+def hash_borders(hashed: DataFrame, label: str, wanted: Column) -> DataFrame:
+    """Per label, hash and key of the last of the ``wanted`` rows in hash order, and how many rows of that key are wanted:
+    ``(label, total, edge_hash, edge_key, edge_rows, edge_total)``, the last being all rows of that key.
 
-    Rows are counted by the first three hex digits of their hash, then, behind the border, by the next three. Hashes
-    are uniform, so the border cell of the second level holds about one row in 16 million; only that cell is sorted.
+    ``hashed`` has the label, the hash ``h`` as hex digits and the key ``k``; ``wanted`` may use the column ``total``. Rows are
+    counted by the first three digits of their hash, then, behind the border, by the next three. Hashes are uniform, so the
+    border cell of the second level holds about one row in 16 million; only that cell is sorted.
     """
     by_label = Window.partitionBy(label)
-    digits = row_hash(quoted(key), seed)
-    hashed = df.select(
-        label, F.substring(digits, 1, 3).alias("p1"), F.substring(digits, 4, 3).alias("p2"), digits.alias("h"), quoted(key).alias("k")
-    )
+    hashed = hashed.select(label, F.substring("h", 1, 3).alias("p1"), F.substring("h", 4, 3).alias("p2"), "h", "k")
 
     def border(cells: DataFrame, level: str, need: str, keep: list[str]) -> DataFrame:
         upto = F.sum("n").over(by_label.orderBy(level))
@@ -83,22 +83,35 @@ def _hash_borders(df: DataFrame, key: str, wanted: Column, seed: int, label: str
     second = hashed.join(F.broadcast(first), [label, "p1"]).groupBy(label, "p1", "total", "p2", "need").agg(F.count("*").alias("n"))
     second = border(second, "p2", "need", ["p1", "total"])
     cell = hashed.join(F.broadcast(second), [label, "p1", "p2"])
-    cell = cell.withColumn("place", F.row_number().over(by_label.orderBy("h", "k"))).where(F.col("place") == F.col("need"))
-    return cell.select(label, "total", F.col("h").alias("edge_hash"), F.col("k").alias("edge_key"))
+    order = by_label.orderBy("h", "k")
+    cell = cell.withColumn("place", F.row_number().over(order)).withColumn("first", F.rank().over(order))
+    cell = cell.withColumn("edge_total", F.count("*").over(Window.partitionBy(label, "h", "k"))).where(F.col("place") == F.col("need"))
+    edge_rows = (F.col("place") - F.col("first") + 1).alias("edge_rows")
+    return cell.select(label, "total", F.col("h").alias("edge_hash"), F.col("k").alias("edge_key"), edge_rows, "edge_total")
 
 
 def _up_to_border(df: DataFrame, key: str, wanted: Column, seed: int, label: str) -> tuple[DataFrame, Column]:
-    """The table with its borders, and whether a row comes no later than the border of its label."""
-    borders = _hash_borders(df, key, wanted, seed, label)
+    """The table with its borders, and whether a row comes no later than the border of its label.
+
+    Of several rows with the key of the border as many count as are still wanted, in an order of their whole content.
+    """
+    hashed = df.select(label, row_hash(quoted(key), seed).alias("h"), quoted(key).alias("k"))
+    borders = durable(hash_borders(hashed, label, wanted), "borders")
     joined = df.withColumn("row_hash", row_hash(quoted(key), seed)).join(F.broadcast(borders), label)
-    before = F.col("row_hash") < F.col("edge_hash")
-    return joined, before | ((F.col("row_hash") == F.col("edge_hash")) & (quoted(key) <= F.col("edge_key")))
+    at_border = (F.col("row_hash") == F.col("edge_hash")) & (quoted(key) == F.col("edge_key"))
+    before = (F.col("row_hash") < F.col("edge_hash")) | ((F.col("row_hash") == F.col("edge_hash")) & (quoted(key) < F.col("edge_key")))
+    if borders.where("edge_total > edge_rows").isEmpty():
+        return joined, before | at_border
+    content = F.xxhash64(*[quoted(c).cast("string") for c in df.columns])
+    place = F.row_number().over(Window.partitionBy(label).orderBy(content))
+    joined = joined.where(~at_border).withColumn("edge_place", F.lit(0)).unionByName(joined.where(at_border).withColumn("edge_place", place))
+    return joined, before | (at_border & (F.col("edge_place") <= F.col("edge_rows")))
 
 
 def take_by_hash(df: DataFrame, key: str, wanted: Column, seed: int, label: str = "label") -> DataFrame:
     """The ``wanted`` rows per label with the smallest row hash; ``wanted`` may use the column ``total``.
 
-    ``key`` identifies a row. A label with no more than ``wanted`` rows is kept whole. The rows themselves are only
+    Rows are ordered by the hash of ``key``; a key on several rows is cut between them. A label with no more than ``wanted`` rows is kept whole. The rows themselves are only
     filtered by comparison with the border of their label.
     """
     joined, inside = _up_to_border(df, key, wanted, seed, label)
