@@ -124,6 +124,40 @@ def onehot_long(spark, sf):
     return encode.onehot_long(table(spark, sf, "documents"), "doc_id", ["lang", "source"])
 
 
+SPARSE = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+SQL_SPARSE = """
+cells AS (SELECT o_orderkey, concat(name, '_', v) AS feature FROM (SELECT o_orderkey, 'o_custkey' AS name, CAST(o_custkey AS VARCHAR) AS v FROM orders
+  UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM orders) WHERE v IS NOT NULL),
+ids AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS id_variable FROM (SELECT DISTINCT feature FROM cells)),
+sparse AS (SELECT o_orderkey, id_variable FROM cells JOIN ids USING (feature)),
+scale AS (SELECT id_variable, count(*) / (SELECT count(*) FROM orders) AS mean FROM sparse GROUP BY 1)"""
+
+
+@query("onehot_sparse", f"WITH {SQL_SPARSE} SELECT o_orderkey, id_variable FROM sparse")
+def onehot_sparse(spark, sf):
+    """A category per customer: as many columns as there are customers, in one sparse one."""
+    rows, _ = encode.encode_sparse(table(spark, sf, "orders"), "o_orderkey", SPARSE)
+    return rows.select("o_orderkey", F.explode("indices").alias("id_variable"))
+
+
+@query("onehot_sparse_scaling", f"WITH {SQL_SPARSE} SELECT id_variable, round(mean, 8) + 0.0 AS mean, round(sqrt(mean * (1 - mean)), 8) + 0.0 AS std FROM scale")
+def onehot_sparse_scaling(spark, sf):
+    sales = table(spark, sf, "orders")
+    rows, _ = encode.encode_sparse(sales, "o_orderkey", SPARSE)
+    return rounded(encode.sparse_scaling(rows, sales.count()), "mean", "std", digits=8)
+
+
+@query("onehot_sparse_pearson", f"""
+WITH {SQL_SPARSE}, both_ AS (SELECT a.id_variable AS id_variable_1, b.id_variable AS id_variable_2, count(*) / (SELECT count(*) FROM orders) AS share
+  FROM sparse a JOIN sparse b ON a.o_orderkey = b.o_orderkey AND a.id_variable < b.id_variable GROUP BY 1, 2)
+SELECT id_variable_1, id_variable_2, round(least(abs(share - p.mean * q.mean) / sqrt(p.mean * (1 - p.mean) * q.mean * (1 - q.mean)), 1), 6) + 0.0 AS correlation_score
+FROM both_ JOIN scale p ON p.id_variable = id_variable_1 JOIN scale q ON q.id_variable = id_variable_2 WHERE p.mean < 1 AND q.mean < 1""")
+def onehot_sparse_pearson(spark, sf):
+    sales = table(spark, sf, "orders")
+    rows, _ = encode.encode_sparse(sales, "o_orderkey", SPARSE)
+    return rounded(encode.sparse_pearson(rows, sales.count()), "correlation_score")
+
+
 @query("leakage_drop", """
 SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders""")
 def leakage_drop(spark, sf):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.values import lookup, to_number
 from ..model import quoted
+from ..runtime import durable
 from .clean import _present, _replace
 
 
@@ -21,7 +22,7 @@ def categories(df: DataFrame, columns=None, limit: int = 10_000) -> dict[str, li
     """Sorted distinct values per text column.
 
     One column per category is only sensible while there are few of them: more than ``limit`` in a column is an
-    error, raised before anything is fetched. Use :func:`onehot_long` for such columns.
+    error, raised before anything is fetched. Use :func:`encode_sparse` for such columns.
     """
     names = columns if columns is not None else [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = _present(df, names)
@@ -58,6 +59,59 @@ def onehot_long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.where(F.col("feature").isNotNull())
 
 
+def category_index(cells: DataFrame, parts: int | None = None) -> DataFrame:
+    """``(id_variable, feature)``: the distinct features of :func:`onehot_long`, numbered from 0 in their order.
+
+    Features are dealt into ranges, and a range's first number is the total of those before it: no list of features is ever
+    fetched, whatever their number.
+    """
+    spark = cells.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(cells.select("feature").distinct().repartitionByRange(parts, "feature").withColumn("part", F.spark_partition_id()), "features")
+    first, starts = 0, []
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+        starts.append((r["part"], first))
+        first += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("feature")) - 1
+    numbered = ranged.withColumn("place", place).join(offsets, "part")
+    return durable(numbered.select((F.col("start") + F.col("place")).cast("int").alias("id_variable"), "feature"), "index")
+
+
+def encode_sparse(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One-hot encoding of columns with any number of categories: ``(key, indices)`` and the index ``(id_variable, feature)``.
+
+    ``indices`` are the numbers of a row's indicators that are 1, in order: at most one for each column. Rows and index meet by
+    shuffle, where adaptive execution splits a frequent category. ``key`` identifies a row; one without any category has no row.
+    """
+    cells = onehot_long(df, key, columns)
+    index = category_index(cells)
+    found = cells.join(index, "feature").groupBy(quoted(key)).agg(F.sort_array(F.collect_list("id_variable")).alias("indices"))
+    return found, index
+
+
+def sparse_scaling(rows: DataFrame, total: int) -> DataFrame:
+    """Mean and population standard deviation of every indicator ``(id_variable, mean, std)`` among ``total`` rows."""
+    counts = rows.select(F.explode("indices").alias("id_variable")).groupBy("id_variable").agg(F.count("*").alias("n"))
+    mean = F.col("n") / F.lit(total)
+    return counts.select("id_variable", mean.alias("mean"), F.sqrt(mean * (1 - mean)).alias("std"))
+
+
+def sparse_pearson(rows: DataFrame, total: int) -> DataFrame:
+    """|Pearson r| ``(id_variable_1, id_variable_2, correlation_score)`` of all indicators that stand in one row somewhere.
+
+    A row gives a pair for every two of its columns, so the work grows with rows, not with categories. Indicators that are
+    constant, or never together, are left out.
+    """
+    both = rows.select(F.explode("indices").alias("id_variable_1"), "indices").select("id_variable_1", F.explode("indices").alias("id_variable_2"))
+    both = both.where("id_variable_1 < id_variable_2").groupBy("id_variable_1", "id_variable_2").agg(F.count("*").alias("n"))
+    scale = durable(sparse_scaling(rows, total).where("std > 0"), "scaling")
+    side = lambda k: scale.select(F.col("id_variable").alias(f"id_variable_{k}"), F.col("mean").alias(f"mean_{k}"), F.col("std").alias(f"std_{k}"))
+    met = both.join(side(1), "id_variable_1").join(side(2), "id_variable_2")
+    score = F.abs((F.col("n") / F.lit(total) - F.col("mean_1") * F.col("mean_2")) / (F.col("std_1") * F.col("std_2")))
+    return met.select("id_variable_1", "id_variable_2", F.least(score, F.lit(1.0)).alias("correlation_score"))
+
+
 def drop_columns(df: DataFrame, columns) -> DataFrame:
     """Drops the listed columns that exist."""
     return df.drop(*_present(df, columns))

@@ -2,66 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ranks import cut_points, with_range
 from ..model import TwoSample, is_x, is_y
+from ..runtime import durable
 from .stats import _whole
 
 HISTOGRAM_BINS = 20
+HELD_CELLS = 8_000_000  # that a task counts together
+STRETCH = 262_144  # counts of one stretch, about
+
+
+def value_counts(sample: TwoSample) -> DataFrame:
+    """``(id_variable, v, nx, ny)``: how many X and Y rows have each value, as far as a task has counted them.
+
+    A task counts column by column, so rows are never multiplied by columns; a value may come from several tasks.
+    """
+    d = len(sample.features)
+    rows = sample.frame.where(is_x() | is_y()).select(is_x().alias("x"), sample.vector().alias("values"))
+    schema = pa.schema([("id_variable", pa.int32()), ("v", pa.float64()), ("nx", pa.int64()), ("ny", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)))
+            if sum(len(x) for x, _ in held) * d >= HELD_CELLS:
+                yield from counted(held)
+                held = []
+        if held:
+            yield from counted(held)
+
+    def counted(held) -> Iterator[pa.RecordBatch]:
+        is_of_x, matrix = np.concatenate([x for x, _ in held]), np.concatenate([m for _, m in held])
+        for i in range(d):
+            there = ~np.isnan(matrix[:, i])
+            values, place = np.unique(matrix[there, i] + 0.0, return_inverse=True)
+            nx = np.bincount(place, weights=is_of_x[there], minlength=len(values)).astype("int64")
+            n = np.bincount(place, minlength=len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i, "int32")), pa.array(values), pa.array(nx), pa.array(n - nx)], schema=schema)
+
+    return rows.mapInArrow(count, "id_variable int, v double, nx long, ny long")
+
+
+def _ordered_stretches(counts: DataFrame, ranges: int) -> DataFrame:
+    """Counts in the order of variable and value, packed into stretches of one variable: totals, first value and mean of each,
+    and the counts themselves as bytes."""
+    numbers = ("sx", "sy", "n", "first", "mean", "m2")
+    schema = pa.schema([("id_variable", pa.int32()), ("stretch", pa.int64()), *[(c, pa.float64()) for c in numbers], *[(c, pa.binary()) for c in ("v", "nx", "ny")]])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0))
+
+        def given(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in np.unique(rows[0]):
+                _, v, nx, ny = rows[:, rows[0] == i]
+                starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+                v, nx, ny = v[starts], np.add.reduceat(nx, starts), np.add.reduceat(ny, starts)
+                n = nx + ny
+                mean = float(n @ v / n.sum())
+                yield pa.RecordBatch.from_pylist([{
+                    "id_variable": int(i), "stretch": 0, "sx": nx.sum(), "sy": ny.sum(), "n": n.sum(), "first": v[0], "mean": mean, "m2": float(n @ (v - mean) ** 2),
+                    "v": v.tobytes(), "nx": nx.tobytes(), "ny": ny.tobytes(),
+                }], schema)
+
+        for batch in batches:
+            held = np.hstack([held, np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])])
+            if held.shape[1] > STRETCH:
+                # all but the last value, whose counts may go on in the next batch
+                cut = int(np.flatnonzero((held[0] != held[0, -1]) | (held[1] != held[1, -1])).max(initial=-1)) + 1
+                yield from given(held[:, :cut])
+                held = held[:, cut:]
+        if held.shape[1]:
+            yield from given(held)
+
+    dealt = counts.repartitionByRange(ranges, "id_variable", "v").sortWithinPartitions("id_variable", "v")
+    ddl = "id_variable int, stretch long, " + ", ".join(f"{c} double" for c in numbers) + ", v binary, nx binary, ny binary"
+    return durable(dealt.mapInArrow(pack, ddl).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
 
 
 def wasserstein_weights(sample: TwoSample, scale: bool = True, ranges: int | None = None) -> DataFrame:
     """1-D Wasserstein distance of X and Y per variable ``(id_variable, name_variable, weight)``.
 
-    The distance is the area between the two distribution functions. Values are counted per distinct value first;
-    each variable is then cut into value ranges, the totals of a range give the height at which both functions
-    enter it, and running sums only ever order the rows of one range. ``scale`` gives the distance of the pooled
-    z-scores, which is the raw distance over the pooled standard deviation.
+    The distance is the area between the two distribution functions. Values are counted per distinct value, dealt once into
+    ranges of variable and value, and packed there into stretches in order. The totals of the stretches give the height at
+    which both functions enter each; inside, running sums are one pass over arrays. ``scale`` gives the distance of the
+    pooled z-scores, which is the raw distance over the pooled standard deviation.
     """
-    long = sample.long().where(is_x() | is_y())
-    cuts = cut_points(long, "v", "id_variable", ranges, len(sample.features))
-    counts = long.groupBy("id_variable", "v").agg(F.count_if(is_x()).alias("nx"), F.count_if(is_y()).alias("ny"))
-    counts = with_range(counts, "v", cuts, "id_variable")
-
-    # one row per variable and range, with the height of both functions at its start and the pooled spread around
-    # the middle cut, which lies within one standard deviation of the mean
-    in_order = Window.partitionBy("id_variable").orderBy("range_id")
-    whole = Window.partitionBy("id_variable")
-    n, off = F.col("nx") + F.col("ny"), F.col("v") - F.col("centre")
-    spans = counts.groupBy("id_variable", "range_id").agg(
-        F.sum("nx").alias("sx"), F.sum("ny").alias("sy"), F.min("v").alias("first"), F.sum(n * off).alias("s1"), F.sum(n * off * off).alias("s2")
-    )
-    total = F.sum(F.col("sx") + F.col("sy")).over(whole)
-    mean = F.sum("s1").over(whole) / total
+    spark = sample.frame.sparkSession
+    counts = durable(value_counts(sample), "counts")
+    stretches = _ordered_stretches(counts, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    in_order, whole = Window.partitionBy("id_variable").orderBy("first"), Window.partitionBy("id_variable")
+    mean = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    spans = stretches.select("id_variable", "stretch", "sx", "sy", "n", "first", "mean", "m2").withColumn("off", F.col("mean") - mean)
     spans = spans.select(
-        "id_variable",
-        "range_id",
+        "stretch",
         (F.sum("sx").over(in_order) - F.col("sx")).alias("before_x"),
         (F.sum("sy").over(in_order) - F.col("sy")).alias("before_y"),
         F.sum("sx").over(whole).alias("total_x"),
         F.sum("sy").over(whole).alias("total_y"),
         F.lead("first").over(in_order).alias("next_first"),
-        F.sqrt(F.greatest(F.sum("s2").over(whole) / total - mean * mean, F.lit(0.0))).alias("std"),
+        F.sqrt(F.sum(F.col("m2") + F.col("n") * F.col("off") * F.col("off")).over(whole) / F.sum("n").over(whole)).alias("std"),
     )
-    inside = Window.partitionBy("id_variable", "range_id").orderBy("v")
-    running = counts.select(
-        "id_variable",
-        "range_id",
-        "v",
-        F.sum("nx").over(inside).alias("cx"),
-        F.sum("ny").over(inside).alias("cy"),
-        F.lead("v").over(inside).alias("next_v"),
-    )
-    joined = running.join(F.broadcast(spans), ["id_variable", "range_id"])
-    height = lambda c, before, whole_side: F.try_divide(F.col(before) + F.col(c), F.col(whole_side))
-    gap = F.abs(height("cx", "before_x", "total_x") - height("cy", "before_y", "total_y"))
-    step = F.coalesce("next_v", "next_first") - F.col("v")
-    divisor = F.when(F.lit(not scale) | (F.col("std") < 1e-8), 1.0).otherwise(F.col("std"))
-    area = joined.groupBy("id_variable").agg(F.sum(gap * step / divisor).alias("area"))
+
+    def area(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            areas = []
+            for r in rows:
+                v, nx, ny = (np.frombuffer(r[c], "float64") for c in ("v", "nx", "ny"))
+                side = lambda n, before, total: (before + np.cumsum(n)) / total if total else np.zeros(len(n))
+                gap = np.abs(side(nx, r["before_x"], r["total_x"]) - side(ny, r["before_y"], r["total_y"]))
+                step = np.diff(v, append=v[-1] if r["next_first"] is None else r["next_first"])
+                areas.append(float(gap @ step) / (r["std"] if scale and r["std"] >= 1e-8 else 1.0) if r["total_x"] and r["total_y"] else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([r["id_variable"] for r in rows], pa.int32()), pa.array(areas, pa.float64())], ["id_variable", "area"])
+
+    joined = stretches.select("id_variable", "stretch", "v", "nx", "ny").join(spans, "stretch")
+    added = joined.mapInArrow(area, "id_variable int, area double").groupBy("id_variable").agg(F.sum("area").alias("area"))
     # a variable without any value has no row yet
-    names = sample.frame.sparkSession.range(len(sample.features)).select(F.col("id").cast("int").alias("id_variable"))
-    rows = names.join(F.broadcast(area), "id_variable", "left")
+    names = spark.range(len(sample.features)).select(F.col("id").cast("int").alias("id_variable"))
+    rows = names.join(F.broadcast(added), "id_variable", "left")
     return rows.select("id_variable", sample.name_of("id_variable").alias("name_variable"), F.coalesce("area", F.lit(0.0)).alias("weight"))
 
 
