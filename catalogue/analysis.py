@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinlens.plans.analysis import AnalysisOptions, run_all, run_analysis
-from twinlens.plans.dating import Dating
+from twinlens.plans.dating import INTERESTS, PREFERENCES, SELF_RATINGS, Dating
 from twinlens.plans.housing import Housing
 from twinlens.runtime import durable, fresh_folder
 from twinlens.sources.tables import Warehouse
 
-from .base import query, rounded, table, vectors
-from .dating import SQL_CARDS, cards
+from .base import SQL_VECTORS, SQL_WASSERSTEIN, query, rounded, sql_selection, table, vectors
+from .dating import ANSWERS, SQL_CARDS, cards
 from .statistics import MOMENTS, PERCENTS, SQL_CATEGORY
+from .themes import SQL_GREEDY, sql_clusters, sql_ends
 
 # A housing table made of parts and lines would be made up; orders stand in for sales, with the columns the adapter
 # looks for. Missing values follow from the keys.
@@ -147,7 +148,46 @@ def report_dating_goal(spark, sf):
     return rounded(Dating().report(durable(cards(spark, sf), "cards"))["goal"], *SHARES)
 
 
-@query("full_analysis")
+def _dating_report(spark, sf, name):
+    return Dating().report(durable(cards(spark, sf), "cards"))[name]
+
+
+@query("report_dating_interests", f"WITH {SQL_CARDS_SPLIT}, {_report_sql(' '.join(INTERESTS))}")
+def report_dating_interests(spark, sf):
+    return rounded(_dating_report(spark, sf, "interests"), *MOMENTS, digits=4)
+
+
+@query("report_dating_self_ratings", f"WITH {SQL_CARDS_SPLIT}, {_report_sql(' '.join(SELF_RATINGS))}")
+def report_dating_self_ratings(spark, sf):
+    return rounded(_dating_report(spark, sf, "self_ratings"), *MOMENTS, digits=4)
+
+
+@query("report_dating_preferences", f"WITH {SQL_CARDS_SPLIT}, {_report_sql(' '.join(PREFERENCES))}")
+def report_dating_preferences(spark, sf):
+    return rounded(_dating_report(spark, sf, "preferences"), *MOMENTS, digits=4)
+
+
+@query("report_dating_race", f"WITH {SQL_CARDS_SPLIT}, " + SQL_CATEGORY.format(column="CAST(race AS VARCHAR)", source="split", top=6))
+def report_dating_race(spark, sf):
+    return rounded(_dating_report(spark, sf, "race"), *SHARES)
+
+
+@query("report_dating_missingness", f"WITH {SQL_CARDS_SPLIT}, {_missing_sql(' '.join(ANSWERS))}")
+def report_dating_missingness(spark, sf):
+    return rounded(_dating_report(spark, sf, "missingness"), *PERCENTS)
+
+
+@query("report_dating_overview", f"""
+WITH {SQL_CARDS_SPLIT}, counts AS (SELECT label, count(*) AS n FROM split GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM split)
+SELECT label, n, round(100.0 * n / (SELECT count(*) FROM split), 6) AS share, CAST({len(ANSWERS)} AS BIGINT) AS n_columns FROM counts""")
+def report_dating_overview(spark, sf):
+    return rounded(_dating_report(spark, sf, "overview"), "share")
+
+
+@query("full_analysis", f"""
+WITH RECURSIVE {SQL_VECTORS}, {SQL_WASSERSTEIN}, {sql_selection(approach="hist_based", threshold=0.1, top_k=5)}, {sql_ends(0.5)}, {SQL_GREEDY}, {sql_clusters(0.1)}
+SELECT c.id_variable, c.name_variable, c.id_cluster, round(c.score_related, 6) AS score_related, round(s.weight, 6) AS weight
+FROM clusters c LEFT JOIN selection s USING (id_variable)""")
 def full_analysis(spark, sf):
     """One call on the embeddings: Wasserstein anchors, absolute correlation, all rows. Returns the clusters with anchor marks."""
     options = AnalysisOptions(
@@ -155,7 +195,7 @@ def full_analysis(spark, sf):
     )
     result = run_analysis(vectors(spark, sf), options)
     chosen = result.selection.select("id_variable", "weight")
-    return result.clusters.join(F.broadcast(chosen), "id_variable", "left")
+    return rounded(result.clusters.join(F.broadcast(chosen), "id_variable", "left"), "score_related", "weight")
 
 
 @query("full_analysis_mmd")

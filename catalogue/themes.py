@@ -16,23 +16,40 @@ TOP, COLLINEAR, AUGMENT, CUT = 6, 0.05, 0.1, 0.12
 
 SQL_ANCHORS = f"{SQL_VECTORS}, {SQL_WASSERSTEIN}, {sql_selection(approach='threshold', threshold=0.1, top_k=TOP, trim=True)}"
 
-# greedy walk over the anchors in id order; ``near`` lists the strongly related anchors
-SQL_THEMES = f"""{SQL_ANCHORS}, {SQL_RELATION},
+def sql_ends(collinear: float) -> str:
+    """CTEs from SQL_RELATION and ``selection`` on: both ends of every pair, and the anchors with those strongly related to each."""
+    return f"""{SQL_RELATION},
 ends AS (SELECT id_variable_1 AS a, id_variable_2 AS b, correlation_score AS score FROM relation UNION ALL SELECT id_variable_2, id_variable_1, correlation_score FROM relation),
 walk_order AS (SELECT s.id_variable AS a, row_number() OVER (ORDER BY s.id_variable) AS pos,
-                      coalesce((SELECT list(e.b) FROM ends e WHERE e.a = s.id_variable AND e.score >= {COLLINEAR}), []) AS near FROM selection s),
+                      coalesce((SELECT list(e.b) FROM ends e WHERE e.a = s.id_variable AND e.score >= {collinear}), []) AS near FROM selection s)"""
+
+
+#: Greedy walk over the anchors in id order; ``near`` lists the strongly related anchors.
+SQL_GREEDY = """
 walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(a INTEGER, t INTEGER)[]) AS members, 0 AS k
          UNION ALL
-         SELECT n.pos, list_append(w.members, {{'a': CAST(n.a AS INTEGER), 't': coalesce(list_min(list_transform(list_filter(w.members, lambda m: list_contains(n.near, m.a)), lambda m: m.t)), w.k + 1)}}),
+         SELECT n.pos, list_append(w.members, {'a': CAST(n.a AS INTEGER), 't': coalesce(list_min(list_transform(list_filter(w.members, lambda m: list_contains(n.near, m.a)), lambda m: m.t)), w.k + 1)}),
                 greatest(w.k, coalesce(list_min(list_transform(list_filter(w.members, lambda m: list_contains(n.near, m.a)), lambda m: m.t)), w.k + 1))
          FROM walk w JOIN walk_order n ON n.pos = w.pos + 1),
-themes AS (SELECT m.a AS a, m.t AS theme FROM (SELECT unnest(members) AS m FROM walk WHERE pos = (SELECT max(pos) FROM walk))),
+themes AS (SELECT m.a AS a, m.t AS theme FROM (SELECT unnest(members) AS m FROM walk WHERE pos = (SELECT max(pos) FROM walk)))"""
+
+#: Connected anchors, numbered by the smallest of each component.
+SQL_COMPONENTS = """
+reach AS (SELECT a, a AS b FROM walk_order UNION SELECT r.a, n.a FROM reach r JOIN walk_order w ON w.a = r.b JOIN walk_order n ON list_contains(w.near, n.a)),
+themes AS (SELECT a, dense_rank() OVER (ORDER BY least_of) AS theme FROM (SELECT a, min(b) AS least_of FROM reach GROUP BY 1))"""
+
+
+def sql_clusters(augment: float) -> str:
+    """CTE ``clusters``: every variable with its theme, from ``themes``, ``ends`` and ``scaling``."""
+    return f"""
 affinity AS (SELECT e.a AS id_variable, t.theme, max(e.score) AS rho FROM ends e JOIN themes t ON e.b = t.a WHERE e.a NOT IN (SELECT a FROM themes) GROUP BY 1, 2),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_variable ORDER BY rho DESC, theme) AS place FROM affinity) WHERE place = 1 AND rho > 0 AND rho >= {AUGMENT}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_variable ORDER BY rho DESC, theme) AS place FROM affinity) WHERE place = 1 AND rho > 0 AND rho >= {augment}),
 clusters AS (SELECT s.id_variable, s.name_variable, CAST(coalesce(t.theme, b.theme, 0) AS INTEGER) AS id_cluster,
                     CASE WHEN t.a IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE b.rho END AS score_related
              FROM scaling s LEFT JOIN themes t ON t.a = s.id_variable LEFT JOIN best b ON b.id_variable = s.id_variable)"""
-SQL_THEMES = "RECURSIVE " + SQL_THEMES
+
+
+SQL_THEMES = f"RECURSIVE {SQL_ANCHORS}, {sql_ends(COLLINEAR)}, {SQL_GREEDY}, {sql_clusters(AUGMENT)}"
 
 
 def anchors_of(sample: TwoSample):
@@ -60,12 +77,15 @@ def theme_assignment(spark, sf):
     return rounded(themed(spark, sf)[2], "score_related")
 
 
-@query("theme_components")
+@query("theme_components", f"""
+WITH RECURSIVE {SQL_ANCHORS}, {sql_ends(COLLINEAR)}, {SQL_COMPONENTS}, {sql_clusters(AUGMENT)}
+SELECT id_variable, name_variable, id_cluster, round(score_related, 6) AS score_related FROM clusters""")
 def theme_components(spark, sf):
     """Anchors joined into connected components instead of greedy themes."""
     sample = vectors(spark, sf)
     relation = durable(relate.absolute_pearson(sample), "relation")
-    return cluster.cluster_variables(sample, relation, ids(anchors_of(sample)), collinear=COLLINEAR, augment=AUGMENT, mode="components")
+    clusters = cluster.cluster_variables(sample, relation, ids(anchors_of(sample)), collinear=COLLINEAR, augment=AUGMENT, mode="components")
+    return rounded(clusters, "score_related")
 
 
 @query("augmented_set", f"""

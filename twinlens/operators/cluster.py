@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import TwoSample
+from ..runtime import broadcast_if_small, discard, durable
 from .relate import both_directions
 
+MOST_MERGES = 1_000_000  # of one round, to be broadcast
+
 
 def anchor_themes(
     relation: DataFrame, anchors: Sequence[int], collinear: float = 0.5, mode: str = "greedy"
@@ -82,25 +85,39 @@ def top_neighbours(relation: DataFrame, anchors: Sequence[int], k: int = 5) -> D
     return ranked.select(F.col("id_variable").alias("id_anchor"), F.col("id_other").alias("id_variable"), "score", "place")
 
 
-def _complete_linkage(size: int, i, j, score, k: int) -> np.ndarray:
-    """Labels of ``k`` clusters by farthest-member distance ``1 - score``."""
-    distance = np.ones((size, size))
-    distance[i, j] = distance[j, i] = 1.0 - np.clip(np.abs(score), 0.0, 1.0)
-    np.fill_diagonal(distance, np.inf)
-    member = [{v} for v in range(size)]
-    alive = list(range(size))
-    while len(alive) > k:
-        block = distance[np.ix_(alive, alive)]
-        a, b = np.unravel_index(np.argmin(block), block.shape)
-        a, b = alive[min(a, b)], alive[max(a, b)]
-        member[a] |= member[b]
-        distance[a] = distance[:, a] = np.maximum(distance[a], distance[b])
-        distance[a, a] = np.inf
-        alive.remove(b)
-    labels = np.zeros(size, dtype="int32")
-    for number, root in enumerate(sorted(alive, key=lambda r: min(member[r]))):
-        labels[list(member[root])] = number
-    return labels
+def linkage_merges(size: int, relation: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """All ``size`` - 1 merges of complete linkage ``(*group, a, b, height)``: b joins a, each named by its smallest variable.
+
+    Distances of clusters are rows. In every round all pairs of clusters that are nearest to each other merge at once; as the
+    distance of a merged cluster is never less than that of its parts, these are merges of the one-by-one procedure too (Murtagh,
+    1983). Of equal distances the smallest variables come first, as there. A pair without a score is at distance 1.
+    """
+    keys = list(group)
+    score = F.greatest(F.lit(0.0), F.least(F.abs("correlation_score"), F.lit(1.0)))
+    given = relation.select(*keys, F.least("id_variable_1", "id_variable_2").alias("a"), F.greatest("id_variable_1", "id_variable_2").alias("b"), (1.0 - score).alias("d"))
+    spark = relation.sparkSession
+    places = spark.range(size - 1).select(F.col("id").cast("int").alias("a"))
+    if keys:
+        places = relation.select(*keys).distinct().withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(size - 2))))
+    every = places.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(size - 1))))
+    pairs = durable(every.join(given, [*keys, "a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))), "distances")
+    merges = None
+    while not pairs.isEmpty():
+        end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+        ends = pairs.select(*keys, "d", F.inline(F.array(end("a", "b"), end("b", "a"))))
+        nearest = ends.groupBy(*keys, "x").agg(F.min(F.struct("d", "y")).alias("n")).select(*keys, "x", F.col("n.y").alias("y"), F.col("n.d").alias("d"))
+        back = nearest.select(*keys, F.col("x").alias("y"), F.col("y").alias("x"))
+        merged = durable(nearest.where("x < y").join(back, [*keys, "x", "y"]).select(*keys, F.col("x").alias("a"), F.col("y").alias("b"), F.col("d").alias("height")), "merged")
+        merges = merged if merges is None else merges.unionByName(merged)
+        renamed = pairs
+        for side in ("a", "b"):
+            moved = broadcast_if_small(merged.select(*keys, F.col("b").alias(side), F.col("a").alias("into")), MOST_MERGES)
+            renamed = renamed.join(moved, [*keys, side], "left").withColumn(side, F.coalesce("into", side)).drop("into")
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        renamed = renamed.where("a <> b").select(*keys, low, high, "d").groupBy(*keys, "a", "b").agg(F.max("d").alias("d"))
+        last, pairs = pairs, durable(renamed, "distances")
+        discard(last)
+    return merges
 
 
 def linkage_clusters(
@@ -108,11 +125,11 @@ def linkage_clusters(
 ) -> DataFrame:
     """Fallback without anchors: ``k`` clusters by complete linkage, numbered by their smallest variable, no scores.
 
-    A table of relations with a ``segment`` column gets one clustering per segment, each in a task of its own.
+    A table of relations with a ``segment`` column gets one clustering per segment. The k clusters are what the lowest
+    d - k merges leave.
     """
     d = len(names)
     wanted = max(1, min(k if k is not None else default_k, d))
-    columns = ["id_variable_1", "id_variable_2", "correlation_score"]
     group = [segment] if segment else []
     schema = "".join(f"`{g}` {relation.schema[g].dataType.simpleString()}, " for g in group)
     schema += "id_variable int, name_variable string, id_cluster int, score_related double"
@@ -120,15 +137,18 @@ def linkage_clusters(
         rows = [(i, n, 0, None) for i, n in enumerate(names)]
         return relation.sparkSession.createDataFrame(rows, schema)
 
-    def cluster(pairs: pd.DataFrame) -> pd.DataFrame:
-        labels = _complete_linkage(d, *(pairs[c].to_numpy() for c in columns), wanted)
-        out = pd.DataFrame({"id_variable": np.arange(d, dtype="int32"), "name_variable": list(names), "id_cluster": labels})
+    def cut(merges: pd.DataFrame) -> pd.DataFrame:
+        merges = merges.sort_values(["height", "a", "b"])
+        into = np.arange(d)
+        for a, b in merges[["a", "b"]].to_numpy()[: d - wanted].tolist():
+            into[into == into[b]] = into[a]
+        out = pd.DataFrame({"id_variable": np.arange(d, dtype="int32"), "name_variable": list(names), "id_cluster": np.unique(into, return_inverse=True)[1].astype("int32")})
         out["score_related"] = None
         for g in group:
-            out.insert(0, g, pairs[g].iloc[0])
+            out.insert(0, g, merges[g].iloc[0])
         return out
 
-    return relation.select(*group, *columns).groupBy(*group).applyInPandas(cluster, schema)
+    return linkage_merges(d, relation, group).groupBy(*group).applyInPandas(cut, schema)  # one row for each variable
 
 
 def cluster_variables(
