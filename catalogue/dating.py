@@ -11,10 +11,10 @@ from twinlens.runtime import durable, spread
 from .base import query, rounded, table
 
 # Column -> expression that reads the same in Spark SQL and in DuckDB. Every answer depends on the person (iid) and
-# on the date (line item), some are missing.
+# on the date (line item), some are missing. People are all suppliers in a circle, each meets the hundred around.
 ANSWERS = {
     "iid": "l_suppkey",
-    "pid": "l_partkey % 100 + 1",
+    "pid": "(l_suppkey - 1 + 100 * {people} + l_partkey % 100 - 50) % {people} + 1",
     "gender": "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END",
     "wave": "year(l_shipdate)",
     "dec": "CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0.0 END",
@@ -43,11 +43,12 @@ def _cast(name: str, text: str) -> str:
 
 
 def cards(spark, sf):
-    rows = spread(table(spark, sf, "lineitem"))
-    return rows.select(*[F.expr(_cast(name, text)).alias(name) for name, text in ANSWERS.items()])
+    rows, people = spread(table(spark, sf, "lineitem")), str(table(spark, sf, "supplier").count())
+    return rows.select(*[F.expr(_cast(name, text).replace("{people}", people)).alias(name) for name, text in ANSWERS.items()])
 
 
 SQL_CARDS = "cards AS (SELECT " + ", ".join(f"{_cast(n, t)} AS {n}" for n, t in ANSWERS.items()) + " FROM lineitem)"
+SQL_CARDS = SQL_CARDS.replace("{people}", "(SELECT count(*) FROM supplier)")
 SQL_FILLED = SQL_CARDS + ",\nfills AS (SELECT " + ", ".join(
     [f"coalesce(median({c}), 5.0) AS fill_{c}" for c in MEDIANS]
     + [f"(SELECT {c} FROM cards WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1) AS fill_{c}" for c in MODES]
@@ -94,13 +95,11 @@ def region_match(spark, sf):
 
 
 def _domain(column: str) -> str:
-    cases = " ".join(f"WHEN {column} IN ({', '.join(map(str, members))}) THEN {d}" for d, members in pairs.FIELD_DOMAINS.items())
-    return f"CASE {cases} END"
+    return f"CASE {' '.join(f'WHEN {column} = {field} THEN {domain}' for field, domain in pairs.FIELD_DOMAINS.items())} END"
 
 
 def _tier(column: str) -> str:
-    cases = " ".join(f"WHEN {column} IN ({', '.join(map(str, members))}) THEN {t}" for t, members in pairs.CAREER_TIERS.items())
-    return f"CASE {cases} ELSE 5 END"
+    return f"CASE {' '.join(f'WHEN {column} = {career} THEN {tier}' for career, tier in pairs.CAREER_TIERS.items())} ELSE 5 END"
 
 
 def _feature_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from ..functions.values import first_of
 from ..model import TwoSample
 from ..operators import clean, encode, pairs, sample, stats
 
-# Column groups of the survey.
+# Column groups of the survey, to REPORT_CATEGORIES.
 DEMOGRAPHICS = ["age", "imprace", "imprelig", "date", "go_out", "goal", "exphappy", "expnum", "career_c"]
 INTERESTS = [
     "sports", "tvsports", "exercise", "dining", "museums", "art", "hiking", "gaming", "clubbing", "reading", "tv", "theater", "movies",
@@ -50,11 +50,11 @@ class Dating:
 
     def prepare(self, raw: DataFrame, apply_limit: bool = True):
         """The two-sample table and its lineage ``[(feature, sources, type)]``."""
-        joined = pairs.reciprocal_pairs(clean_cards(raw))
+        joined = pairs.with_pair_key(pairs.reciprocal_pairs(clean_cards(raw)))
         table, lineage = pairs.pair_features(joined, INTERESTS, PREFERENCES + SELF_RATINGS, SURVEY_FIELDS, IMPORTANCES)
         names = tuple(sorted(name for name, _, _ in lineage))
         split = encode.drop_columns(sample.split_by_flag(table, "match"), ["match"])
-        made = TwoSample(encode.numeric_guard(split, names), names, key="pair_id_hash")
+        made = TwoSample(encode.numeric_guard(split, names), names, key="pair_key")
         if apply_limit:
             made = sample.in_scope(made, "subset", self.limit, self.seed)
         used = {source for _, sources, _ in lineage for source in sources} | {"field_cd"}

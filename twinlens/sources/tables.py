@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -114,12 +115,17 @@ class Warehouse:
         return self.table(FEATURE_TABLE).where(F.col("distribution_label") == label)
 
     def _append_metadata(self, values: dict[str, str], mode: str, seq: int) -> None:
-        rows = [(k, v, seq) for k, v in values.items()]
-        table = self.spark.createDataFrame(rows, "key string, value string, seq bigint").coalesce(1)
+        writer = uuid.uuid4().hex
+        rows = [(k, v, seq, writer) for k, v in values.items()]
+        table = self.spark.createDataFrame(rows, "key string, value string, seq bigint, writer string").coalesce(1)
         table.write.mode(mode).parquet(self.path(METADATA_TABLE))
 
     def put_metadata(self, values: dict[str, str]) -> None:
-        """Inserts or replaces values by key. Changes are appended with a rising number, so readers never see half a write."""
+        """Inserts or replaces values by key. Changes are appended with a rising number, so readers never see half a write.
+
+        Writers need no lock: each adds files of its own, and where two draw one number the writer's random name decides, for
+        every reader alike and for all keys of a change together. A change that begins after another has ended has the higher number.
+        """
         try:
             last = self.table_raw(METADATA_TABLE).agg(F.max("seq")).first()[0] or 0
         except AnalysisException:
@@ -160,8 +166,9 @@ class Warehouse:
 
 
 def latest_by_key(log: DataFrame) -> DataFrame:
-    """The value with the highest ``seq`` per key."""
-    return log.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    """The value with the highest ``seq`` per key, of equal ones that of the last ``writer`` where the log names them."""
+    order = F.struct("seq", "writer") if "writer" in log.columns else F.col("seq")
+    return log.groupBy("key").agg(F.max_by("value", order).alias("value"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
