@@ -218,13 +218,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _qualified(shared: DataFrame) -> DataFrame:
-    """(class, pivot) where the class's overlap with the token union of the pivot's group reaches its bound."""
-    tokens = shared.select("class", "level", "need", F.explode(F.transform("tokens", lambda x: x["token"])).alias("token"))
+    """(class, pivot) where the class's overlap with the token union of the pivot's group reaches its bound.
+
+    Token lists move to their groups whole; only there a row of three numbers is made of each token, and dealt out once for
+    the union and the overlaps alike.
+    """
     groups = _groups(shared)
-    rows = groups.join(tokens, ["class", "level"])
-    union = rows.groupBy("pivot", "token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-    overlap = rows.join(union.select("pivot", "token"), ["pivot", "token"]).groupBy("class", "pivot", "level").agg(F.count(F.lit(1)).alias("both"), F.first("need").alias("need"))
-    qualified = durable(overlap.where("both >= need AND class <> pivot").select("class", "pivot").distinct(), "qualified")
+    code = (F.col("class") * 2 + F.col("level")).alias("code")
+    lists = shared.select(code, F.transform("tokens", lambda x: x["token"]).alias("tokens"))
+    rows = groups.select(code, "pivot").join(lists, "code").select("pivot", "code", F.explode("tokens").alias("token")).repartition("pivot", "token")
+    owner = F.shiftright("code", 1)
+    union = rows.groupBy("pivot", "token").agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi")).where("_lo < _hi").select("pivot", "token")
+    overlap = rows.join(union, ["pivot", "token"]).groupBy("code", "pivot").agg(F.count(F.lit(1)).alias("both"))
+    overlap = overlap.join(shared.select(code, "need"), "code").where("both >= need").select(owner.alias("class"), "pivot")
+    qualified = durable(overlap.where("class <> pivot").distinct(), "qualified")
     discard(groups)
     return qualified
 
