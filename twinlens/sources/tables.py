@@ -115,15 +115,19 @@ class Warehouse:
         return self.table(FEATURE_TABLE).where(F.col("distribution_label") == label)
 
     def _append_metadata(self, values: dict[str, str], mode: str, seq: int) -> None:
-        writer = uuid.uuid4().hex
+        """One change, in a directory of its own writer: jobs that write into one directory would clean up each other's files."""
+        writer = f"w{uuid.uuid4().hex}"
         rows = [(k, v, seq, writer) for k, v in values.items()]
         table = self.spark.createDataFrame(rows, "key string, value string, seq bigint, writer string").coalesce(1)
-        table.write.mode(mode).parquet(self.path(METADATA_TABLE))
+        if mode == "overwrite":
+            table.write.mode(mode).partitionBy("writer").parquet(self.path(METADATA_TABLE))
+        else:
+            table.drop("writer").write.parquet(f"{self.path(METADATA_TABLE)}/writer={writer}")
 
     def put_metadata(self, values: dict[str, str]) -> None:
         """Inserts or replaces values by key. Changes are appended with a rising number, so readers never see half a write.
 
-        Writers need no lock: each adds files of its own, and where two draw one number the writer's random name decides, for
+        Writers need no lock: each adds a directory of its own, and where two draw one number the writer's random name decides, for
         every reader alike and for all keys of a change together. A change that begins after another has ended has the higher number.
         """
         try:
