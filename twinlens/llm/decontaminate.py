@@ -32,7 +32,8 @@ SAMPLED = 4  # positions of the embedding in one key
 MOST_WALKS = 96  # where these are too few, every window is verified
 BLOCK_BYTES = 4 << 20  # benchmark text that is searched for at once
 WINDOW_RATIO = 1.25
-RUN_WORDS = 1 << 21  # words of the texts that are searched at once
+RUN_WORDS = 1 << 19  # words of the texts that are searched at once
+SLICE_ROWS = 1_000
 SEED_WORDS = 3  # first words of a chunk; edits take at most one word in five, so no chunk is shorter
 TABLE_BITS = 20
 
@@ -381,7 +382,9 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
         def clean(batches, items=items):
             for batch in batches:
-                yield batch.filter(pa.array([not m for m in items.matches(batch.column(text).to_pylist())], pa.bool_()))
+                for at in range(0, batch.num_rows, SLICE_ROWS):  # so that few texts are Python strings at a time
+                    part = batch.slice(at, SLICE_ROWS)
+                    yield part.filter(pa.array([not m for m in items.matches(part.column(text).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

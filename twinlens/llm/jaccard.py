@@ -33,7 +33,7 @@ SPARE = 2  # segments beyond k + 1, at least
 SPARE_SHARE = 0.25  # of k, where that is more
 CLASS_RATIO = 1.4  # from one size class to the next
 LARGEST = 1 << 40  # sets larger than this would need more size classes
-CACHE_SIZE = 500_000
+CACHE_SIZE = 250_000
 U = np.uint64
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 

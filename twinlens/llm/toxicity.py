@@ -36,6 +36,7 @@ SEEDS = {
 MARKS = ("negated", "reported", "aimed")
 HITS = tuple((kind, *marks) for kind in ("insult", "threat") for marks in product((False, True), repeat=len(MARKS)))
 
+SLICE_ROWS = 1_000
 TRAIN_ROWS = 20_000  # labelled texts that lexicon and weights are learned from, at most
 STEM_LENGTHS = (4, 5, 6, 7, 8, 10)
 LEAST_TEXTS, LEAST_CONTEXTS, LEAST_PRECISION = 6, 6, 0.95
@@ -261,14 +262,19 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose score is below 0.5."""
+    """The rows of ``docs``, with all columns, whose score is below 0.5.
+
+    Null and empty texts have the score of a text without hits, repeated rows stay or go together, an empty table stays empty.
+    """
     machine, text = grammar().compiled(), docs.columns.index("text")
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches):
         lexicon = Lexicon(told.value.stems)
         for batch in batches:
-            scores = [told.value.score(hits_of(t or "", lexicon, machine)) for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # so that few texts are Python strings at a time
+                part = batch.slice(at, SLICE_ROWS)
+                scores = [told.value.score(hits_of(t or "", lexicon, machine)) for t in part.column(text).to_pylist()]
+                yield part.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
