@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from test_numbers import two_sample
+from twinlens import runtime
 from twinlens.operators import mmd
+from twinlens.plans.dating import Dating
 
 
 @pytest.mark.parametrize("chunk_rows", [512, 65_536])
@@ -24,3 +26,17 @@ def test_bandwidths_form_no_pairs(spark, monkeypatch, chunk_rows):
     found = mmd.pair_spreads(packed, 4, chunk_rows=chunk_rows)
     expected = [np.sort(np.abs(x[:, k, None] - y[None, :, k]).ravel())[(301 * 160 + 1) // 2 - 1] for k in range(3)]
     assert found.tolist() == [*expected, 1.0]
+
+
+def test_a_report_computes_only_its_table(spark, monkeypatch):
+    """One table of the dating report: no other is made, and wide stored results run in compiled methods."""
+    cards = spark.createDataFrame([(k, k % 2, 1.0, float(k % 2), 20.0 + k, float(k % 3)) for k in range(40)], "iid long, wave int, dec double, dec_o double, age double, goal double")
+    asked = {name: Dating().report(cards, [name]) for name in ("overview", "habits", "goal")}
+    assert all(list(tables) == [name] for name, tables in asked.items())
+    assert {r["label"]: r["n"] for r in asked["overview"]["overview"].collect()} == {"X": 20, "Y": 20, "total": 40}
+    assert [(r["name_metric"], r["median_x"], r["median_y"]) for r in asked["habits"]["habits"].collect()] == [("age", 40.0, 39.0)]
+    assert sum(r["count_x"] + r["count_y"] for r in asked["goal"]["goal"].collect()) == 40
+    before, seen = spark.conf.get(runtime.METHOD_LIMIT), []
+    with runtime.wide_columns(spark):
+        seen.append(spark.conf.get(runtime.METHOD_LIMIT))
+    assert seen == ["8000"] and spark.conf.get(runtime.METHOD_LIMIT) == before
