@@ -40,3 +40,15 @@ def test_a_report_computes_only_its_table(spark, monkeypatch):
     with runtime.wide_columns(spark):
         seen.append(spark.conf.get(runtime.METHOD_LIMIT))
     assert seen == ["8000"] and spark.conf.get(runtime.METHOD_LIMIT) == before
+
+
+def test_power_alone_takes_no_derivatives(spark, monkeypatch):
+    """Held-out power and the query over all pairs need sums of kernels only."""
+    draw = np.random.default_rng(32)
+    made = two_sample(spark, draw.normal(size=(50, 3)), draw.normal(0.5, 1.2, size=(31, 3)))
+    packed, spread, weights = mmd.packed_blocks(made, block_rows=16), np.array([1.0, 2.0, 0.7]), np.array([[0.4, 0.6, 0.3], [0.1, 0.0, 0.9]])
+    sizes = mmd.mask_sizes(packed)
+    expected = [power for power, _ in mmd.whole_power(packed, spread, weights, [0, 0], sizes)]
+    assert all(len(row[0]) == 1 for row in mmd._power_sums(packed, spread, weights, [0, 0], sizes, slopes=False))
+    np.testing.assert_allclose(mmd._held_out_power(packed, spread, weights, 0), expected)
+    assert mmd.mmd_all_pairs(made, weights[0] / spread, 16).first()["power"] == pytest.approx(expected[0])
