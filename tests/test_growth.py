@@ -5,7 +5,8 @@ import pytest
 
 from test_numbers import two_sample
 from twinlens import runtime
-from twinlens.operators import mmd
+from twinlens.model import TwoSample
+from twinlens.operators import mmd, select
 from twinlens.plans.dating import Dating
 
 
@@ -52,3 +53,11 @@ def test_power_alone_takes_no_derivatives(spark, monkeypatch):
     assert all(len(row[0]) == 1 for row in mmd._power_sums(packed, spread, weights, [0, 0], sizes, slopes=False))
     np.testing.assert_allclose(mmd._held_out_power(packed, spread, weights, 0), expected)
     assert mmd.mmd_all_pairs(made, weights[0] / spread, 16).first()["power"] == pytest.approx(expected[0])
+
+
+def test_counting_holds_little(spark):
+    """A task counts at most 16 MB of values together and takes up one stretch at a time, whatever the rows are."""
+    assert select.HELD_CELLS * 8 <= 16_000_000 and select.STRETCH * 24 <= 2_000_000
+    rows = spark.range(160_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'X' ELSE 'Y' END AS label", "CAST(id AS DOUBLE) + IF(id % 2 = 0, 0D, 1000D) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    found = {r["name_variable"]: r["weight"] for r in select.wasserstein_weights(TwoSample(rows, ("a", "b")), scale=False, ranges=1).collect()}
+    assert found["a"] == pytest.approx(1001.0) and found["b"] == pytest.approx(0.0, abs=1e-3)
