@@ -179,10 +179,10 @@ def _shared_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """
     coded = F.posexplode("tokens").alias("at", "token")
     token_rows = rows.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
-    # dealt out once: counting and joining read the same shuffle, a row of two numbers for each token
-    token_rows = token_rows.repartition("token")
-    many = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("code").alias("_lo"), F.max("code").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
-    listed = token_rows.join(many, "token").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    # dealt out once, a row of two numbers for each token: a join of rows with their counts would deal them out for either side
+    same = Window.partitionBy("token")
+    token_rows = token_rows.select("code", "token", F.count(F.lit(1)).over(same).alias("held"), F.min("code").over(same).alias("_lo"), F.max("code").over(same).alias("_hi"))
+    listed = token_rows.where("_lo < _hi").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
     listed = listed.select(F.shiftright("code", 1).alias("class"), F.col("code").bitwiseAND(1).alias("level"), "tokens")
     needs = rows.join(classes.select("class"), "class", "left_semi").select("class", F.col("need").alias("_own"), F.col("need_low").alias("_low"))
     known = listed.join(needs, "class").withColumn("need", F.when(F.col("level") == 1, F.col("_low")).otherwise(F.col("_own")))
@@ -226,10 +226,10 @@ def _qualified(shared: DataFrame) -> DataFrame:
     groups = _groups(shared)
     code = (F.col("class") * 2 + F.col("level")).alias("code")
     lists = shared.select(code, F.transform("tokens", lambda x: x["token"]).alias("tokens"))
-    rows = groups.select(code, "pivot").join(lists, "code").select("pivot", "code", F.explode("tokens").alias("token")).repartition("pivot", "token")
-    owner = F.shiftright("code", 1)
-    union = rows.groupBy("pivot", "token").agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi")).where("_lo < _hi").select("pivot", "token")
-    overlap = rows.join(union, ["pivot", "token"]).groupBy("code", "pivot").agg(F.count(F.lit(1)).alias("both"))
+    rows = groups.select(code, "pivot").join(lists, "code").select("pivot", "code", F.explode("tokens").alias("token"))
+    owner, same = F.shiftright("code", 1), Window.partitionBy("pivot", "token")
+    union = rows.select("pivot", "code", F.min(owner).over(same).alias("_lo"), F.max(owner).over(same).alias("_hi")).where("_lo < _hi")
+    overlap = union.groupBy("code", "pivot").agg(F.count(F.lit(1)).alias("both"))
     overlap = overlap.join(shared.select(code, "need"), "code").where("both >= need").select(owner.alias("class"), "pivot")
     qualified = durable(overlap.where("class <> pivot").distinct(), "qualified")
     discard(groups)
