@@ -18,13 +18,14 @@ its frequent shingles in common, but not their edits, so this stays selective in
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import discard, durable
+from ..runtime import discard, durable, sifted
 from .components import connected_components
 
 WORDS = 3
@@ -34,6 +35,7 @@ SPARE_SHARE = 0.25  # of k, where that is more
 CLASS_RATIO = 1.4  # from one size class to the next
 LARGEST = 1 << 40  # sets larger than this would need more size classes
 CACHE_SIZE = 250_000
+TOKEN_PARTS = 4  # dealt out one after the other; a power of two
 U = np.uint64
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
@@ -171,22 +173,40 @@ def _classes(rows: DataFrame) -> DataFrame:
     return durable(picked.agg(F.min("class").alias("class"), F.min("doc_id").alias("first_id")), "classes")
 
 
-def _shared_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, level, need, tokens: what a class has in common with other rows under its own key (level 0) or the one below.
+def _held_tokens(full: DataFrame) -> list[DataFrame]:
+    """Tables of code, token, held: the tokens that several rows have, and how many do. ``full`` is used up.
 
-    Tokens are (held, token), rarest first. A class with fewer than ``need`` of them has no link under that key. Token rows
-    are only a token and a number for row and level; what else is known of a row comes back when few are left.
+    Token rows are only a token and a number for row and level. They are dealt out in parts, so that the shuffle files of one
+    part stand beside the stored tables at a time; few rows are left of each.
     """
     coded = F.posexplode("tokens").alias("at", "token")
-    token_rows = rows.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
+    token_rows = full.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
     # dealt out once, a row of two numbers for each token: a join of rows with their counts would deal them out for either side
     same = Window.partitionBy("token")
-    token_rows = token_rows.select("code", "token", F.count(F.lit(1)).over(same).alias("held"), F.min("code").over(same).alias("_lo"), F.max("code").over(same).alias("_hi"))
-    listed = token_rows.where("_lo < _hi").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    counted = [F.count(F.lit(1)).over(same).alias("held"), F.min("code").over(same).alias("_lo"), F.max("code").over(same).alias("_hi")]
+    held = []
+    for part in range(TOKEN_PARTS):
+        # hashed once more: the tokens of one part are dealt out evenly, too
+        own = token_rows.where(F.xxhash64("token", F.lit("part")).bitwiseAND(TOKEN_PARTS - 1) == part)
+        held.append(durable(own.select("code", "token", *counted).where("_lo < _hi").drop("_lo", "_hi"), "tokens"))
+    discard(full)
+    return held
+
+
+def _shared_tokens(full: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, level, need, tokens: what a class has in common with other rows under its own key (level 0) or the one below.
+
+    Tokens are (held, token), rarest first. A class with fewer than ``need`` of them has no link under that key. ``full`` is
+    used up: it goes before the tokens become lists, and what else is known of a row comes back from ``rows``.
+    """
+    held = _held_tokens(full)
+    listed = reduce(DataFrame.unionByName, held).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
     listed = listed.select(F.shiftright("code", 1).alias("class"), F.col("code").bitwiseAND(1).alias("level"), "tokens")
     needs = rows.join(classes.select("class"), "class", "left_semi").select("class", F.col("need").alias("_own"), F.col("need_low").alias("_low"))
     known = listed.join(needs, "class").withColumn("need", F.when(F.col("level") == 1, F.col("_low")).otherwise(F.col("_own")))
-    return durable(known.where(F.size("tokens") >= F.col("need")).select("class", "level", "need", "tokens"), "tokens")
+    shared = durable(known.where(F.size("tokens") >= F.col("need")).select("class", "level", "need", "tokens"), "shared")
+    discard(*held)
+    return shared
 
 
 def _groups(shared: DataFrame) -> DataFrame:
@@ -305,10 +325,9 @@ def _grouped(docs: DataFrame, numbered: DataFrame, percent: int, words: int, spa
     named = f"doc_id {kind}, {', '.join(f'{c} long' for c in others)}, n long, h1 long, h2 long"
     made = numbered.select("doc_id", "text", *others).mapInArrow(_set_rows(words, Segments(percent, spare)), f"{named}, tokens array<long>, cut int, need int, need_low int")
     full = durable(made, "sets")
-    rows = durable(full.drop("tokens", "cut", "need", "need_low"), "rows")
+    rows = durable(full.drop("tokens", "cut"), "rows")
     classes = _classes(rows)
-    shared = _shared_tokens(full, classes)
-    discard(full)
+    shared = _shared_tokens(full, rows, classes)
     edges = _class_links(docs, shared, classes, f"doc_id {kind}, n long, h1 long, h2 long", percent, words)
     found = connected_components(edges).withColumnRenamed("node", "class")
     grouped = durable(classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "components")
@@ -325,7 +344,8 @@ def _class_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, named:
     kept = qualified.select("class").unionByName(qualified.select(F.col("pivot").alias("class"))).distinct()
     wanted = kept.join(classes.select("class", "first_id", "n", "h1", "h2"), "class")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    near, _ = sifted(docs, F.xxhash64(docs["doc_id"]), ids, F.xxhash64(ids["_id"]))
+    texts = near.join(ids, near["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     again = texts.mapInArrow(_set_rows(words, None), f"{named}, members array<long>")
     again = again.drop("doc_id").dropDuplicates(["n", "h1", "h2"])
     sets = durable(wanted.select("class", "n", "h1", "h2").join(again, ["n", "h1", "h2"]).select("class", "n", "members"), "members")
@@ -365,14 +385,17 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
         same = rows["doc_id"].eqNullSafe(which["_id"]) & (marks["t1"] == which["_t1"]) & (marks["t2"] == which["_t2"])
         return rows.join(which, same, how)
 
-    left = matching(docs, judged.where("NOT stays"), "left_anti")
+    # most texts are of no row that goes or repeats, and are not dealt out
+    changed = judged.where("NOT stays OR times > 1")
+    near, rest = sifted(docs, F.xxhash64(docs["doc_id"], *marks.values()), changed, F.xxhash64("doc_id", "t1", "t2"))
+    left = matching(near, judged.where("NOT stays"), "left_anti")
     repeated = judged.where("stays AND times > 1")
     if repeated.isEmpty():
-        return left
+        return rest.unionByName(left)
     several = matching(left, repeated, "left_semi")
     mark = "_row"
     while mark in docs.columns:
         mark += "_"
     names = [F.col("doc_id").isNull(), F.col("doc_id"), *marks.values()]
     once = several.withColumn(mark, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).where(F.col(mark) == 1).drop(mark)
-    return matching(left, repeated, "left_anti").unionByName(once)
+    return rest.unionByName(matching(left, repeated, "left_anti")).unionByName(once)
