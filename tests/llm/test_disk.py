@@ -1,4 +1,4 @@
-"""What the duplicate stage has on disk at once: a part of the tokens, and only those texts that a join may change."""
+"""What the duplicate stage has on disk at once: a part of the tokens, and only those texts that a join may change; what training holds."""
 
 import os
 import random
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlens import runtime
-from twinlens.llm import jaccard
+from twinlens.llm import jaccard, toxicity
 
 
 def family_docs(spark, families=12, alone=400):
@@ -80,3 +80,15 @@ def test_sifted_rows_are_whole(spark, monkeypatch, bits):
         assert sorted(map(repr, near.unionByName(rest).collect())) == sorted(map(repr, rows.collect()))
         if bits == 26:
             assert near.count() == keys.count()
+
+
+def test_counts_of_stems_are_handed_on_in_parts(spark, monkeypatch):
+    """A training task holds few stems at a time; what is learned is the same."""
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(["vilely", "vileness", "calm", "green", "tables", "walking"]) for _ in range(20)), 0) for _ in range(60)]
+    texts += [(" ".join(f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x scumbags" for _ in range(12)), 1) for _ in range(60)] + [(None, 0), ("", 1)]
+    train, found = spark.createDataFrame(texts, "text string, toxic int"), []
+    for most in (1, 20, 10**9):
+        monkeypatch.setattr(toxicity, "TALLIED_STEMS", most)
+        found.append(toxicity.learn_stems(train))
+    assert found[0] == found[1] == found[2] and any("scumbags".startswith(s) for s in found[0])

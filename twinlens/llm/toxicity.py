@@ -41,6 +41,7 @@ TRAIN_ROWS = 20_000  # labelled texts that lexicon and weights are learned from,
 STEM_LENGTHS = (4, 5, 6, 7, 8, 10)
 LEAST_TEXTS, LEAST_CONTEXTS, LEAST_PRECISION = 6, 6, 0.95
 CACHE_SIZE = 300_000
+TALLIED_STEMS = 50_000  # that a training task holds before it hands their counts on
 
 
 class Transducer:
@@ -155,8 +156,14 @@ def learn_stems(train: DataFrame) -> frozenset[str]:
     repeat their contexts, words of abuse do not.
     """
 
+    def tallied(found: dict[str, int], contexts: dict[str, set]) -> pa.RecordBatch:
+        columns = [pa.array(list(found), pa.string()), *(pa.array([n >> shift & 0xFFFFFFFF for n in found.values()], pa.int64()) for shift in (0, 32))]
+        columns.append(pa.array([list(contexts.get(s, ())) for s in found], pa.list_(pa.string())))
+        return pa.RecordBatch.from_arrays(columns, ["stem", "toxic", "clean", "contexts"])
+
     def tally(batches):
-        found: dict[str, list] = {}
+        found: dict[str, int] = {}  # toxic texts in the lower 32 bits, clean ones above
+        contexts: dict[str, set] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, seen = [w for w in TOKEN.findall((text or "").lower()) if w[0].isalpha()], set()
@@ -164,16 +171,17 @@ def learn_stems(train: DataFrame) -> frozenset[str]:
                     for n in STEM_LENGTHS:
                         if len(word) >= n:
                             stem = word[:n]
-                            row = found.setdefault(stem, [0, 0, set()])
                             if stem not in seen:
                                 seen.add(stem)
-                                row[not toxic] += 1
-                            if toxic and len(row[2]) < LEAST_CONTEXTS * 8:
-                                row[2].add(before)
-        stems = list(found)
-        columns = [pa.array(stems, pa.string()), *(pa.array([found[s][k] for s in stems], pa.int64()) for k in (0, 1))]
-        columns.append(pa.array([list(found[s][2]) for s in stems], pa.list_(pa.string())))
-        yield pa.RecordBatch.from_arrays(columns, ["stem", "toxic", "clean", "contexts"])
+                                found[stem] = found.get(stem, 0) + (1 if toxic else 1 << 32)
+                            if toxic:
+                                before_it = contexts.setdefault(stem, set())
+                                if len(before_it) < LEAST_CONTEXTS * 8:
+                                    before_it.add(before)
+                if len(found) >= TALLIED_STEMS:
+                    yield tallied(found, contexts)
+                    found, contexts = {}, {}
+        yield tallied(found, contexts)
 
     counted = train.mapInArrow(tally, "stem string, toxic long, clean long, contexts array<string>").groupBy("stem")
     counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.array_distinct(F.flatten(F.collect_list("contexts"))).alias("c"))
