@@ -18,7 +18,6 @@ its frequent shingles in common, but not their edits, so this stays selective in
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,6 @@ SPARE_SHARE = 0.25  # of k, where that is more
 CLASS_RATIO = 1.4  # from one size class to the next
 LARGEST = 1 << 40  # sets larger than this would need more size classes
 CACHE_SIZE = 250_000
-TOKEN_PARTS = 4  # dealt out one after the other; a power of two
 U = np.uint64
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
@@ -173,22 +171,17 @@ def _classes(rows: DataFrame) -> DataFrame:
     return durable(picked.agg(F.min("class").alias("class"), F.min("doc_id").alias("first_id")), "classes")
 
 
-def _held_tokens(full: DataFrame) -> list[DataFrame]:
-    """Tables of code, token, held: the tokens that several rows have, and how many do. ``full`` is used up.
+def _held_tokens(full: DataFrame) -> DataFrame:
+    """code, token, held: the tokens that several rows have, and how many do. ``full`` is used up.
 
-    Token rows are only a token and a number for row and level. They are dealt out in parts, so that the shuffle files of one
-    part stand beside the stored tables at a time; few rows are left of each.
+    Token rows are only a token and a number for row and level; few are left.
     """
     coded = F.posexplode("tokens").alias("at", "token")
     token_rows = full.select("class", "cut", coded).select((F.col("class") * 2 + (F.col("at") >= F.col("cut")).cast("long")).alias("code"), "token")
     # dealt out once, a row of two numbers for each token: a join of rows with their counts would deal them out for either side
     same = Window.partitionBy("token")
     counted = [F.count(F.lit(1)).over(same).alias("held"), F.min("code").over(same).alias("_lo"), F.max("code").over(same).alias("_hi")]
-    held = []
-    for part in range(TOKEN_PARTS):
-        # hashed once more: the tokens of one part are dealt out evenly, too
-        own = token_rows.where(F.xxhash64("token", F.lit("part")).bitwiseAND(TOKEN_PARTS - 1) == part)
-        held.append(durable(own.select("code", "token", *counted).where("_lo < _hi").drop("_lo", "_hi"), "tokens"))
+    held = durable(token_rows.select("code", "token", *counted).where("_lo < _hi").drop("_lo", "_hi"), "tokens")
     discard(full)
     return held
 
@@ -200,12 +193,12 @@ def _shared_tokens(full: DataFrame, rows: DataFrame, classes: DataFrame) -> Data
     used up: it goes before the tokens become lists, and what else is known of a row comes back from ``rows``.
     """
     held = _held_tokens(full)
-    listed = reduce(DataFrame.unionByName, held).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    listed = held.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
     listed = listed.select(F.shiftright("code", 1).alias("class"), F.col("code").bitwiseAND(1).alias("level"), "tokens")
     needs = rows.join(classes.select("class"), "class", "left_semi").select("class", F.col("need").alias("_own"), F.col("need_low").alias("_low"))
     known = listed.join(needs, "class").withColumn("need", F.when(F.col("level") == 1, F.col("_low")).otherwise(F.col("_own")))
     shared = durable(known.where(F.size("tokens") >= F.col("need")).select("class", "level", "need", "tokens"), "shared")
-    discard(*held)
+    discard(held)
     return shared
 
 
